@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, matroska, mixing, secrets
+from siltstone.llm import chat, matroska, mixing, packing, secrets
 from siltstone.llm.common import default_tokenizer, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer or default_tokenizer(), with_ids=False)
+
+
 def op4_chat(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """All conversations and one more, whose texts look like another template's control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -34,7 +38,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_matroska": op1_matroska, "op4_chat": op4_chat, "op7_mixing": op7_mixing, "op9_secrets": op9_secrets}
+    return {"op1_matroska": op1_matroska, "op3_packing": op3_packing, "op4_chat": op4_chat, "op7_mixing": op7_mixing, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
