@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, matroska, mixing, packing, secrets
+from siltstone.llm import chat, matroska, mixing, packing, secrets, toxicity
 from siltstone.llm.common import default_tokenizer, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.ledger_scan(table(spark, sf_dir, "documents"))[0]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_matroska": op1_matroska, "op3_packing": op3_packing, "op4_chat": op4_chat, "op7_mixing": op7_mixing, "op9_secrets": op9_secrets}
+    return {"op1_matroska": op1_matroska, "op3_packing": op3_packing, "op4_chat": op4_chat, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
