@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, matroska, mixing, packing, secrets, toxicity
+from siltstone.llm import chat, langid, matroska, mixing, packing, secrets, toxicity
 from siltstone.llm.common import default_tokenizer, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_chat(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
     return chat.chat_digest(chat.format_chats(rows.unionByName(planted), tokenizer or default_tokenizer()))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.sample(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -42,7 +46,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_matroska": op1_matroska, "op3_packing": op3_packing, "op4_chat": op4_chat, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets}
+    return {"op1_matroska": op1_matroska, "op3_packing": op3_packing, "op4_chat": op4_chat, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:

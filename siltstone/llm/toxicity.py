@@ -1,6 +1,6 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms are a text's distinct words and their leading 4 to 8 bytes, hashed to 2**22 places, ASCII and Latin-1 letters without
+Terms are a text's distinct words and their leading 3 to 8 bytes, hashed to 2**22 places, ASCII and Latin-1 letters without
 regard to case. The machine adds a weight per term and an inner product of learned vectors per pair of terms, so that an
 insult beside a group's name can weigh more than the two alone. It is fitted on the driver to a bounded sample of labelled
 documents (`SAMPLE` of each label, chosen by a hash of the id), over the `SELECTED` terms that tell the labels apart
@@ -28,7 +28,7 @@ BITS = 22
 SAMPLE = 3000
 SELECTED = 4096
 FACTORS = 6
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 
 
@@ -111,7 +111,7 @@ def fit(rows: np.ndarray, places: np.ndarray, labels: np.ndarray, seed: int = 5)
     n1, n0 = positive.sum(), (~positive).sum()
     p, q, both = hit / n1, miss / n0, (hit + miss) / n
     strength = (p - q) ** 2 / (both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
-    strength[hit + miss < 4] = 0
+    strength[hit + miss < 3] = 0
     chosen = np.argsort(-strength, kind="stable")[:SELECTED]
     chosen = chosen[strength[chosen] > 12]
     slots = np.full(1 << BITS, -1, np.int16)
