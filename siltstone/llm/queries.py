@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, langid, matroska, mixing, packing, secrets, toxicity
+from siltstone.llm import chat, hnsw, langid, matroska, mixing, packing, secrets, toxicity
 from siltstone.llm.common import default_tokenizer, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer or default_tokenizer(), with_ids=False)
 
@@ -46,7 +51,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_matroska": op1_matroska, "op3_packing": op3_packing, "op4_chat": op4_chat, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets}
+    return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
