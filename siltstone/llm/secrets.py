@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import pieces
+from siltstone.llm.common import checkpointed, pieces
 
 #: Kinds in the order that breaks ties between spans with one start; the first three are the base rules.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "forge")
@@ -91,7 +91,7 @@ def scan_unseen(docs: DataFrame, path: str = "doc_id", text: str = "text", ledge
 
 def ledger_scan(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings of every path, the ledger rows to append). Paths whose blob the ledger knows take its findings."""
-    fresh = scan_unseen(docs, path, text, ledger)
+    fresh = checkpointed(scan_unseen(docs, path, text, ledger))
     known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*fresh.columns))
     paths = addressed(docs, path, text).select(F.col("path").alias(path), "blob")
     found = paths.join(known.drop("rule_version"), "blob", "left").drop("blob")
