@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, hnsw, langid, matroska, mixing, packing, secrets, toxicity
+from siltstone.llm import chat, hnsw, hyperminhash, langid, matroska, mixing, packing, secrets, toxicity
 from siltstone.llm.common import default_tokenizer, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op4_chat(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
     return chat.chat_digest(chat.format_chats(rows.unionByName(planted), tokenizer or default_tokenizer()))
 
 
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets}
+    return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_hyperminhash": op5_hyperminhash, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
