@@ -16,10 +16,13 @@ and the text are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,40 +35,71 @@ from siltstone.llm.common import pieces
 LENGTH = 2048
 CLOSING_ID = 1
 MAX_OPEN = 4096
-CACHED = 300_000
+CACHED = 400_000
 
 _SPACED = re.compile(r" (?:\s|\Z)")
 
 
+# Fixed value: the pattern of byte-level pre-tokenizers that use their own regular expression.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [x for x in range(256) if x not in plain]
+    return {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(other)}
+
+
+def _ranked(path: str) -> dict[bytes, int] | None:
+    """The file's vocabulary as bytes to ids, if it is byte-level BPE whose ids follow the order of its merges."""
+    data = json.loads(Path(path).read_text())
+    model, pre = data["model"], data["pre_tokenizer"] or {}
+    if model.get("type") != "BPE" or data["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    byte, vocabulary = _byte_of(), model["vocab"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if any(vocabulary.get(x + y) != 256 + i for i, (x, y) in enumerate(merges)):
+        return None
+    added = {t["content"] for t in data["added_tokens"]}
+    return {bytes(byte[c] for c in word): i for word, i in vocabulary.items() if word not in added}
+
+
 class Ids:
     """Token ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pre-tokenizer always cuts before a single space that a word follows, so such stretches encode alone
     as they do in the text; they are few and recur, and a bounded table keeps their ids. Texts with a space before other
-    white space are encoded whole.
+    white space are encoded whole. Where the file is plain byte-level BPE, whose ids are its merge ranks, a faster library
+    encodes with the same ranks; any other file goes to its own library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        ranks = _ranked(path)
+        if ranks:
+            import tiktoken
+
+            self.encode = tiktoken.Encoding(Path(path).stem, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _bytes(self, text: str) -> bytes:
+        return array("I", self.encode(text)).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED:
             self.known.clear()
-        cut = [None if _SPACED.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        new = list({u for units in cut if units is not None for u in units}.difference(self.known))
-        for first in range(0, len(new), 20_000):
-            part = new[first : first + 20_000]
-            self.known.update(zip(part, self._encode(part)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, units)) if units is not None else self._encode([t])[0] for t, units in zip(texts, cut)]
+        known = self.known
+        cut = [None if "\0" in t or _SPACED.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
+        for unit in {u for units in cut if units is not None for u in units if u not in known}:
+            known[unit] = self._bytes(unit)
+        return [b"".join(map(known.__getitem__, units)) if units is not None else self._bytes(t) for t, units in zip(texts, cut)]
 
 
 class Packer:
