@@ -230,3 +230,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     out = rows.drop("registers").join(named, "address", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("key").isNotNull(), F.col("class_component"))).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` that stay: one of each group of near duplicates. Columns are unchanged.
+
+    Rows that repeat one key and text stay once; rows without a key all stay.
+    """
+    kept = near_duplicates(docs, key, text, width, percent).where("kept").select(F.col(key).alias("kept_key")).distinct()
+    named = docs.join(kept, F.col(f"`{key}`") == F.col("kept_key"), "left_semi").dropDuplicates([key, text])
+    return named.unionByName(docs.where(F.col(f"`{key}`").isNull()))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siltstone.llm import chat, hnsw, hyperminhash, langid, matroska, mixing, packing, repeats, secrets, toxicity
 from siltstone.llm.common import default_tokenizer, table
 
@@ -59,7 +60,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_hyperminhash": op5_hyperminhash, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_repeats": op10_repeats}
+    return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_hyperminhash": op5_hyperminhash, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_repeats": op10_repeats, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -96,3 +96,40 @@ def ledger_scan(docs: DataFrame, path: str = "doc_id", text: str = "text", ledge
     paths = addressed(docs, path, text).select(F.col("path").alias(path), "blob")
     found = paths.join(known.drop("rule_version"), "blob", "left").drop("blob")
     return found, fresh
+
+
+#: Holds for every text that a rule can match; texts without it pass `redact` untouched and unmoved.
+_POSSIBLE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|-----BEGIN |eyJ|gh[pousr]_"""
+MARK = "[REDACTED]"
+
+
+def cut_out(text: str, spans: str) -> str:
+    """The text with every span, or run of overlapping spans, replaced by the mark."""
+    parts, at = [], 0
+    for start, end in [tuple(map(int, s.split(":")[1:])) for s in spans.split(",")]:
+        if start >= at:
+            parts += [text[at:start], MARK]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def redact(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+    """All rows and columns of `docs` with the findings cut out of the text; `n_chars`, where it is a column, follows."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    possible = body.rlike(_POSSIBLE)
+    risky = docs.where(possible)
+    _, fresh = ledger_scan(risky, path, text, ledger)
+    known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*fresh.columns))
+    hits = known.where("spans <> ''").select(F.col("blob").alias("hit_blob"), F.col("spans").alias("hit_spans"))
+    joined = risky.join(hits, F.unhex(F.sha2(body, 256)) == F.col("hit_blob"), "left").drop("hit_blob")
+    place, last = docs.columns.index(text), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            texts = [cut_out(t, s) if s else t for t, s in zip(batch.column(place).to_pylist(), batch.column(last).to_pylist())]
+            yield batch.set_column(place, text, pa.array(texts, batch.schema.field(place).type))
+
+    done = joined.mapInArrow(run, joined.schema).drop("hit_spans")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col(f"`{text}`").isNotNull(), F.length(f"`{text}`")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return docs.where(~possible).unionByName(done)
