@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.plans import corpus
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+MODULES = (corpus,)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for m in MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
