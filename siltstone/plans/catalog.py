@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import corpus
+from siltstone.plans import corpus, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (corpus,)
+MODULES = (corpus, tables)
 
 
 def queries() -> dict[str, Query]:
