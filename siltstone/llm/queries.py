@@ -63,5 +63,27 @@ def queries() -> dict[str, Query]:
     return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_hyperminhash": op5_hyperminhash, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_repeats": op10_repeats, "pipeline": corpus_pipeline.run}
 
 
+#: Mixing is plain arithmetic over an order, down to the hashed offsets.
+OP7_SQL = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS ceiling FROM s),
+x AS (SELECT *, sum(source_size) OVER () - sum(ceiling) OVER o + ceiling AS left_size, sum(weight) OVER () - sum(weight) OVER o + weight AS left_weight FROM w WINDOW o AS (ORDER BY ceiling / weight::DOUBLE, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+y AS (SELECT *, left_size * weight > ceiling * left_weight AS stopped FROM x),
+t AS (SELECT source, source_size, CASE WHEN stopped THEN ceiling::DOUBLE ELSE (sum(source_size) OVER () - sum(CASE WHEN stopped THEN ceiling ELSE 0 END) OVER ())::DOUBLE * weight / sum(weight) FILTER (WHERE NOT stopped) OVER () END AS target FROM y),
+r AS (SELECT d.*, source_size, target, size * 64 > source_size AS heavy FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, row_number() OVER (PARTITION BY source, heavy ORDER BY size, doc_id) - 1 AS place, ('0x' || substr(md5('7' || CASE WHEN heavy THEN 'h' ELSE 'l' END || coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM r),
+h AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM p WHERE heavy),
+hc AS (SELECT *, CAST(floor(u + (place + 1) * rate) - floor(u + place * rate) AS BIGINT) AS copies FROM h),
+g AS (SELECT source, sum(size) AS heavy_size, sum(copies * size) AS heavy_taken FROM hc GROUP BY source),
+l AS (SELECT p.*, CASE WHEN source_size > coalesce(heavy_size, 0) THEN least(greatest((target - coalesce(heavy_taken, 0)) / (source_size - coalesce(heavy_size, 0)), 0), 3) ELSE 0 END AS rate FROM p LEFT JOIN g ON p.source IS NOT DISTINCT FROM g.source WHERE NOT heavy),
+lc AS (SELECT *, CAST(floor(u + (place + 1) * rate) - floor(u + place * rate) AS BIGINT) AS copies FROM l)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM (SELECT doc_id, size, source_size, target, copies FROM hc UNION ALL SELECT doc_id, size, source_size, target, copies FROM lc)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {"op7_mixing": OP7_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
