@@ -140,7 +140,7 @@ def _panel(spark, sf_dir) -> DataFrame:
 
 
 def market_panel(spark, sf_dir):
-    return _panel(spark, sf_dir).select("series_id", "date", F.round("value", 2).alias("value"))
+    return _panel(spark, sf_dir)
 
 
 _OBS = "o AS (SELECT r_name AS series_id, CAST(o_orderdate AS DATE) AS date, round(sum(l_extendedprice * (1 - l_discount)), 4) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)"
@@ -233,10 +233,10 @@ def observation_merge(spark, sf_dir):
     """Days' sums by user from the first and the second half of a day; the second wins."""
     e = table(spark, sf_dir, "events")
     half = lambda late: e.where(F.hour("ts") >= 12 if late else F.hour("ts") < 12).groupBy(F.col("user_id").alias("series_id"), F.to_date("ts").alias("date")).agg(F.round(F.sum("value"), 4).alias("value"))
-    return series.merged(half(False), half(True)).select("series_id", "date", F.round("value", 3).alias("value"))
+    return series.merged(half(False), half(True))
 
 
-_MERGE = "WITH h AS (SELECT user_id AS series_id, CAST(ts AS DATE) AS date, hour(ts) >= 12 AS late, round(sum(value), 4) AS value FROM events GROUP BY ALL) SELECT series_id, date, round(max_by(value, CAST(late AS INT)), 3) AS value FROM h GROUP BY ALL"
+_MERGE = "WITH h AS (SELECT user_id AS series_id, CAST(ts AS DATE) AS date, hour(ts) >= 12 AS late, round(sum(value), 4) AS value FROM events GROUP BY ALL) SELECT series_id, date, max_by(value, CAST(late AS INT)) AS value FROM h GROUP BY ALL"
 
 
 def latest_two_per_key(spark, sf_dir):
@@ -372,7 +372,7 @@ def dated(query, sql: str, column: str):
 QUERIES = {
     "html_extract": (html_extract, _HTML), "link_inventory": (link_inventory, _ANCHORS), "page_backlinks": (page_backlinks, _BACKLINKS), "broken_links": (broken_links, _BROKEN), "orphan_pages": (orphan_pages, _ORPHANS),
     "title_scoring": (title_scoring, None), "freshness_lint": (freshness_lint, _FRESH), "state_diff": (state_diff, _STATE_DIFF), "subject_resolution": (subject_resolution, _SUBJECTS),
-    "market_panel": dated(market_panel, f"WITH {_PANEL} SELECT series_id, date, round(value, 2) AS value FROM p", "date"), "panel_returns": dated(panel_returns, f"WITH {_RETURNS} SELECT series_id, date, round(ret, 6) AS ret FROM t", "date"), "rolling_features": dated(rolling_features, _ROLLING, "date"),
+    "market_panel": dated(market_panel, f"WITH {_PANEL} SELECT series_id, date, value FROM p", "date"), "panel_returns": dated(panel_returns, f"WITH {_RETURNS} SELECT series_id, date, round(ret, 6) AS ret FROM t", "date"), "rolling_features": dated(rolling_features, _ROLLING, "date"),
     "composite_returns": dated(composite_returns, _COMPOSITES, "date"), "event_runs": (event_runs, f"WITH {_RUNS} SELECT * FROM u"), "run_transitions": (run_transitions, _TRANSITIONS), "duration_hazards": (duration_hazards, _HAZARDS),
     "horizon_stats": (horizon_stats, _HORIZON), "daily_event_log": dated(daily_event_log, _DAILY, "day"), "iso_week_review": dated(iso_week_review, _WEEKLY, "starts"), "commands_touched": dated(commands_touched, _TOUCHED, "day"), "observation_merge": dated(observation_merge, _MERGE, "date"),
     "latest_two_per_key": (latest_two_per_key, _LATEST), "props_json_extract": (props_json_extract, _PROPS), "rule_resolution": (rule_resolution, _RULE_SQL), "memory_due": (memory_due, _DUE),
