@@ -1,10 +1,11 @@
 """Near-duplicate documents by HyperMinHash, with exact confirmation.
 
 1. One pass turns each whole text into its set of word shingles, the set's address and its sketch: shingle hashes fall
-   into `REGISTERS` buckets, and a bucket stores its least hash as a count of leading zeros and a few mantissa bits, one
-   byte in all. Equal sets are one class from here on, so copies of any number cost one row per task.
+   into `REGISTERS` buckets, and a bucket stores its least hash as a count of leading zeros (4 bits) and a mantissa (12
+   bits). Equal sets are one class from here on, so copies of any number cost one row per task.
 2. Bands of `ROWS` registers are hashed to keys; bands without a filled register are left out. At a similarity of 0.8
    the chance to share no band is below 2e-8, and sets of a few shingles share all but the band of what differs.
+   Unrelated texts agree on a band with a chance of about 3e-21, which leaves few such pairs even among 1e10 texts.
 3. Each key's members are paired with a leader, which depends on the key, never with each other. Pairs pass the
    collision-corrected estimate of their sketches, five standard errors below the threshold, and are then confirmed on the
    full sets of their texts. Links give first components.
@@ -14,7 +15,7 @@
    final components.
 
 So a linked pair is missed only if it shares no band, and large groups of near copies cost rows in proportion to their
-size. Text moves once, for classes that share a key. Sizes that grow with the corpus are never broadcast by hint.
+size. Text moves once, compressed, for classes that share a key. Pairs are broadcast only if their count was checked.
 
 Defined results. Null or wordless text: an empty set, linked with nothing. Texts shorter than a shingle: the whole
 sequence is one. Null id: not linked; component null and kept true. Rows repeated with one id: the same component, all
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, mix, pieces
+from siltstone.llm.common import checkpointed, mix, partitions, pieces
 from siltstone.llm.components import components
 from siltstone.llm.shingles import digest, shingle_sets
 
@@ -38,7 +39,9 @@ WIDTH = 5
 PERCENT = 80
 BANDS, ROWS = 45, 5
 REGISTERS = BANDS * ROWS
-MANTISSA = 4
+MANTISSA = 12
+#: Rows of ids that are broadcast at most; tables with more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Distinct leader orders over the keys.
 LEADERS = 5
 #: Keys with at most so many members give their pairs across components without the overlap bound.
@@ -46,8 +49,8 @@ SMALL = 16
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """One byte per register: 0 if empty, else 1 + 16 * leading zeros (14 at most) + mantissa."""
-    out = np.zeros(REGISTERS, np.uint8)
+    """16 bits per register: 0 if empty, else 1 + 4096 * leading zeros (14 at most) + mantissa."""
+    out = np.zeros(REGISTERS, np.uint16)
     if not len(shingles):
         return out
     mixed = mix(shingles)
@@ -62,12 +65,12 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     # below the leading one, or below the 14 zeros where there are more
     kept = np.where(zeros < 14, least - (np.int64(1) << np.maximum(length - 1, 0)), least)
     shift = np.where(zeros < 14, length - 1, 26) - MANTISSA
-    out[bucket[first]] = 1 + 16 * zeros + (kept >> np.maximum(shift, 0))
+    out[bucket[first]] = 1 + (zeros << MANTISSA) + (kept >> np.maximum(shift, 0))
     return out
 
 
-def sketched(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, n_shingles, address, registers) of each document."""
+def sketched(docs: DataFrame, key: str, text: str, width: int, registers_too: bool = True) -> DataFrame:
+    """(key, n_shingles, address, registers) of each document; the registers on request."""
     kind = docs.select(F.col(f"`{key}`")).schema.fields[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,14 +79,14 @@ def sketched(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             for held in shingle_sets(batch.column(1), width):
                 sizes.append(len(held))
                 addresses.append(digest(held))
-                registers.append(sketch(held).tobytes())
+                registers.append(sketch(held).tobytes() if registers_too else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(addresses, pa.binary()), pa.array(registers, pa.binary())], ["key", "n_shingles", "address", "registers"])
 
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("read_text")).mapInArrow(run, f"key {kind}, n_shingles long, address binary, registers binary")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -98,28 +101,32 @@ def band_keys(classes: DataFrame) -> DataFrame:
                 keys = mix(np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1))
                 keys = np.broadcast_to(keys, filled.shape).copy()
                 for r in range(ROWS):
-                    keys = mix(keys * np.uint64(257) + bands[:, :, r])
+                    keys = mix(keys * np.uint64(65537) + bands[:, :, r])
                 nodes = np.broadcast_to(part.column(0).to_numpy()[:, None], filled.shape)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[filled].view(np.int64)), pa.array(nodes[filled])], ["band", "node"])
 
     return classes.select("node", "registers").mapInArrow(run, "band long, node long")
 
 
-_EDGES = np.concatenate(([0.0], *[2.0 ** -(z + 1) * (1 + np.arange(16) / 16) for z in range(13, -1, -1)], [1.0]))
+#: Where the counts of leading zeros change, from 14 or more to none.
+_EDGES = np.concatenate(([0.0], 2.0 ** -np.arange(14, -1, -1.0)))
 
 
-def accidental(sizes: np.ndarray) -> np.ndarray:
-    """By size, the distribution of a filled register over its values (ascending stretches of [0, 1))."""
-    load = np.maximum(sizes[:, None] / REGISTERS, 1.0 / REGISTERS)
-    above = (1 - _EDGES[None, :]) ** load
-    p = above[:, :-1] - above[:, 1:]
-    return p / p.sum(1, keepdims=True)
+def accidental(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """The chance that two filled registers of unrelated sets are equal: equal leading zeros, then equal mantissas."""
+
+    def spread(sizes: np.ndarray) -> np.ndarray:
+        above = (1 - _EDGES[None, :]) ** np.maximum(sizes[:, None] / REGISTERS, 1.0 / REGISTERS)
+        p = above[:, :-1] - above[:, 1:]
+        return p / p.sum(1, keepdims=True)
+
+    return (spread(n_a) * spread(n_b)).sum(1) / (1 << MANTISSA)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(similarity, registers it rests on): equal registers, less those that are equal by accident."""
     either, equal = ((a > 0) | (b > 0)).sum(1), ((a > 0) & (a == b)).sum(1)
-    chance = (accidental(n_a) * accidental(n_b)).sum(1)
+    chance = accidental(n_a, n_b)
     rate = equal / np.maximum(either, 1)
     return np.clip((rate - chance) / (1 - chance), 0, 1), either
 
@@ -140,43 +147,72 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
+def few(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """The table, to be broadcast where its rows were counted and are few."""
+    return F.broadcast(rows) if (rows.count() if n is None else n) <= BROADCAST_ROWS else rows
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b")
+    """The pairs whose full sets reach the threshold. Each pair's two texts meet in one place."""
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    held = texts.join(few(sides, 2 * pairs.count()), "node").select("a", "b", "node", "packed")
+    met = held.repartition(partitions(texts), "a", "b").sortWithinPartitions("a", "b", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "t_a"):
-            kept = []
-            for x, y in zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width)):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1])
+        last, before = None, np.zeros(0, np.uint64)
+        for batch in pieces(batches, "packed", 256 << 10):
+            found = []
+            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), shingle_sets(unpacked(batch.column(3)), width))
+            for a, b, node, held in rows:
+                if last == (a, b) and node == b:
+                    shared = len(np.intersect1d(before, held, assume_unique=True))
+                    if shared and 100 * shared >= percent * (len(before) + len(held) - shared):
+                        found.append((a, b))
+                elif node == a:
+                    last, before = (a, b), held
+            columns = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
 
-    return joined.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+def unpacked(column: pa.Array) -> pa.Array:
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    return pa.array([expand(x) for x in column.to_pylist()], pa.large_binary())
 
 
 def class_texts(docs: DataFrame, nodes: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(node, text) of the classes in `nodes` (node, key, address), from the document that represents each."""
-    source = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    """(node, packed) of the classes in `nodes` (node, key, address): the text of the document that represents each."""
+    source = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("key is not null")
+    kind = source.schema["key"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in pieces(batches, "text"):
-            same = [digest(held) == address for held, address in zip(shingle_sets(batch.column(1), width), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress(t.as_buffer()) for t in batch.column(1)], pa.binary())], ["key", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "packed", 256 << 10):
+            same = [digest(held) == address for held, address in zip(shingle_sets(unpacked(batch.column(1)), width), batch.column(2).to_pylist())]
             yield batch.filter(pa.array(same, pa.bool_())).select([0, 1])
 
-    return source.join(nodes, "key").select("node", "text", "address").mapInArrow(run, "node long, text string")
+    return source.mapInArrow(pack, f"key {kind}, packed binary").join(nodes, "key").select("node", "packed", "address").mapInArrow(run, "node long, packed binary")
 
 
 def possible_overlap(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, overlap): how many of its shingles another of the `nodes` has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            sets = list(shingle_sets(batch.column(1), width))
+        for batch in pieces(batches, "packed", 256 << 10):
+            sets = list(shingle_sets(unpacked(batch.column(1)), width))
             owners = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
 
-    rows = texts.join(nodes, "node").select("node", "text").mapInArrow(run, "node long, shingle long")
+    rows = texts.join(few(nodes), "node").select("node", "packed").mapInArrow(run, "node long, shingle long")
     shared = rows.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("shingle")
     return rows.distinct().join(shared, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("overlap"))
 
@@ -207,27 +243,29 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: Dat
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each document."""
-    rows = checkpointed(sketched(docs, key, text, width))
-    linkable = rows.where("key is not null and n_shingles > 0")
+    linkable = sketched(docs, key, text, width).where("key is not null and n_shingles > 0")
     classes = linkable.groupBy("address").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
     bands = band_keys(classes)
-    order = F.struct(F.xxhash64("node", F.pmod("band", F.lit(LEADERS))), F.col("node").alias("leader"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("held"), F.min(order).alias("first")).where("held > 1").select("band", F.col("first.leader").alias("leader"))
+    # turning some bits of the nodes' numbers gives each leader order, and the leader back from the least number
+    turn = F.xxhash64(F.pmod("band", F.lit(LEADERS))).bitwiseAND(F.lit((1 << 62) - 1))
+    shared = bands.groupBy("band").agg(F.count("*").alias("held"), F.min(F.col("node").bitwiseXOR(turn)).alias("first"))
+    shared = shared.where("held > 1").select("band", F.col("first").bitwiseXOR(turn).alias("leader"))
     members = checkpointed(bands.join(shared, "band"))
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "key", "address")
-    texts = checkpointed(class_texts(docs, wanted, key, text, width))
+    named = classes
+    classes = checkpointed(classes.join(members.select("node").distinct(), "node", "left_semi"))
+    texts = checkpointed(class_texts(docs, classes.select("node", "key", "address"), key, text, width))
     stars = members.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = checkpointed(confirmed(plausible(stars, classes, percent), texts, width, percent))
+    links = checkpointed(confirmed(checkpointed(plausible(stars, classes, percent)), texts, width, percent))
     found = components(links)
     rest = across(members.select("band", "node"), found, classes, texts, width, percent).join(links, ["a", "b"], "left_anti")
-    more = checkpointed(confirmed(plausible(rest, classes, percent), texts, width, percent))
+    more = checkpointed(confirmed(checkpointed(plausible(rest, classes, percent)), texts, width, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    own = classes.select("node", "address", F.col("key").alias("own")).join(found, "node", "left")
+    own = named.select("node", "address", F.col("key").alias("own")).join(found, "node", "left")
     least = own.where("component is not null").groupBy("component").agg(F.min("own").alias("least"))
-    named = own.join(least, "component", "left").select("address", F.coalesce("least", "own").alias("class_component"))
-    out = rows.drop("registers").join(named, "address", "left")
+    named = checkpointed(own.join(least, "component", "left").select("address", F.coalesce("least", "own").alias("class_component")))
+    out = sketched(docs, key, text, width, False).drop("registers").join(named, "address", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("key").isNotNull(), F.col("class_component"))).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 
@@ -235,8 +273,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that stay: one of each group of near duplicates. Columns are unchanged.
 
-    Rows that repeat one key and text stay once; rows without a key all stay.
+    Rows that repeat one key and text stay once; rows without a key all stay. Only ids move, unless there are very many.
     """
-    kept = near_duplicates(docs, key, text, width, percent).where("kept").select(F.col(key).alias("kept_key")).distinct()
-    named = docs.join(kept, F.col(f"`{key}`") == F.col("kept_key"), "left_semi").dropDuplicates([key, text])
-    return named.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    found = checkpointed(near_duplicates(docs, key, text, width, percent).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("of")).agg(F.count("*").alias("n"), F.max("kept").alias("stays")))
+    gone, again = found.where("not stays").select("of"), found.where("stays and n > 1").select("of")
+    same = F.col(f"`{key}`") == F.col("of")
+    once = docs.join(few(gone.unionByName(again)), same, "left_anti")
+    return once.unionByName(docs.join(few(again), same, "left_semi").dropDuplicates([key, text]))
