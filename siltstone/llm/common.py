@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker works on at once; longer single texts are taken alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: The six bytes that separate words: space and 0x09 to 0x0D.
 SEPARATOR = np.zeros(256, bool)
@@ -119,7 +119,7 @@ class Roller:
     @classmethod
     def _grow(cls, n: int) -> None:
         if len(cls._powers) < n:
-            size = max(n, 2 * len(cls._powers), 1 << 16)
+            size = max(n, CHUNK_BYTES + 2)
             inverse = pow(cls.BASE, -1, 1 << 64)
             for name, base in (("_powers", cls.BASE), ("_inverse", inverse)):
                 out = np.full(size, base, np.uint64)

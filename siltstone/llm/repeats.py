@@ -38,7 +38,7 @@ WINDOW, GRAM = 400, 48
 DEPTHS = (64, 160)
 LARGE = 100_000
 #: Bytes of stretches that a worker sorts at once; groups stay whole.
-SORTED_BYTES = 8 << 20
+SORTED_BYTES = 1 << 20
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
