@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a timestamp with a zone; the session's zone is taken for times without one."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def daily_stream(events: DataFrame, ts: str, kind: str, late: str = "1 day") -> DataFrame:
     """(day, kind, n) in tumbling days; events later than `late` are left out."""
-    counted = events.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), kind).agg(F.count("*").alias("n"))
+    counted = _timed(events, ts).withWatermark(ts, late).groupBy(F.window(ts, "1 day"), kind).agg(F.count("*").alias("n"))
     return counted.select(F.to_date("window.start").alias("day"), kind, "n")
 
 
 def weekly_stream(events: DataFrame, ts: str, kind: str, late: str = "1 day") -> DataFrame:
     """(starts, kind, n) in weeks from Monday: the epoch was a Thursday."""
-    counted = events.withWatermark(ts, late).groupBy(F.window(ts, "7 days", startTime="4 days"), kind).agg(F.count("*").alias("n"))
+    counted = _timed(events, ts).withWatermark(ts, late).groupBy(F.window(ts, "7 days", startTime="4 days"), kind).agg(F.count("*").alias("n"))
     return counted.select(F.to_date("window.start").alias("starts"), kind, "n")
 
 
 def first_seen(events: DataFrame, ts: str, content: str, late: str = "1 day") -> DataFrame:
     """Each content once within the watermark's delay, by its hash."""
-    return events.withColumn("checksum", F.sha2(content, 256)).withWatermark(ts, late).dropDuplicatesWithinWatermark(["checksum"])
+    return _timed(events, ts).withColumn("checksum", F.sha2(content, 256)).withWatermark(ts, late).dropDuplicatesWithinWatermark(["checksum"])
 
 
 def upsert_into(path: str, keys: list[str], order: str):
