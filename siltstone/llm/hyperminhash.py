@@ -9,10 +9,9 @@
 3. Each key's members are paired with a leader, which depends on the key, never with each other. Pairs pass the
    collision-corrected estimate of their sketches, five standard errors below the threshold, and are then confirmed on the
    full sets of their texts. Links give first components.
-4. Keys whose members still lie in different components give the pairs across components, and only those. In keys with
-   many members an exact bound is joined in: shingles that no other such text has cannot be shared, so a text's possible
-   overlap with any other is known, and pairs that it rules out are never made. Estimate and confirmation follow, and the
-   final components.
+4. Keys whose members still lie in different components give, a few times, pairs of such members with their hub, the
+   member of most links. What is then left across components is compared in full: directly in keys of few members, and by
+   an exact prefix join on the rarest shingles in larger ones.
 
 So a linked pair is missed only if it shares no band, and large groups of near copies cost rows in proportion to their
 size. Text moves once, compressed, for classes that share a key. Pairs are broadcast only if their count was checked.
@@ -28,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import checkpointed, mix, partitions, pieces
@@ -44,8 +43,10 @@ MANTISSA = 12
 BROADCAST_ROWS = 500_000
 #: Distinct leader orders over the keys.
 LEADERS = 5
-#: Keys with at most so many members give their pairs across components without the overlap bound.
+#: Keys with at most so many members give all their pairs across components.
 SMALL = 16
+#: Rounds of pairs with hubs.
+HUBS = 2
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -203,42 +204,68 @@ def class_texts(docs: DataFrame, nodes: DataFrame, key: str, text: str, width: i
     return source.mapInArrow(pack, f"key {kind}, packed binary").join(nodes, "key").select("node", "packed", "address").mapInArrow(run, "node long, packed binary")
 
 
-def possible_overlap(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, overlap): how many of its shingles another of the `nodes` has too."""
+def shingle_rows(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, n_shingles, component, shingle) of the `nodes` (node, n_shingles, component)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "packed", 256 << 10):
-            sets = list(shingle_sets(unpacked(batch.column(1)), width))
-            owners = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(sets).view(np.int64))], ["node", "shingle"])
+            sets = list(shingle_sets(unpacked(batch.column(3)), width))
+            owners = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(owners) for i in range(3)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "n_shingles", "component", "shingle"])
 
-    rows = texts.join(few(nodes), "node").select("node", "packed").mapInArrow(run, "node long, shingle long")
-    shared = rows.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("shingle")
-    return rows.distinct().join(shared, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("overlap"))
+    joined = texts.join(few(nodes), "node").select("node", "n_shingles", "component", "packed")
+    return joined.mapInArrow(run, "node long, n_shingles long, component long, shingle long")
 
 
-def across(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that share a band across components, without those that the overlap bound rules out."""
-    sizes = classes.select("node", "n_shingles")
-    rows = checkpointed(members.join(labels, "node", "left").join(sizes, "node").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component")))
-    mixed = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held"), F.min("n_shingles").alias("least")).where("low <> high")
-    rows = rows.join(mixed.select("band", "held", "least"), "band")
+def _alike(percent: int):
+    return 100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")
 
-    def pairs(left: DataFrame, right: DataFrame, more) -> DataFrame:
-        x, y = left.alias("x"), right.alias("y")
-        fits = (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
-        return x.join(y, fits & more).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
+def labelled(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, node, n_shingles, component) in the bands whose members lie in different components, with `held` and `least`."""
+    rows = members.join(labels, "node", "left").join(classes.select("node", "n_shingles"), "node").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    mixed = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low <> high")
+    return checkpointed(rows.join(mixed.select("band", "held"), "band"))
+
+
+def hub_pairs(rows: DataFrame, links: DataFrame, salt: int) -> DataFrame:
+    """Members of mixed bands with their band's hub, the member of most links so far, where it lies elsewhere."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    weight = F.coalesce("links", F.lit(0)) * (1 + F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1000 if salt else 1)))
+    ranked = rows.join(ends, "node", "left").withColumn("weight", weight)
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("weight", "node", "component")).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.component").alias("of"))
+    met = rows.join(hubs, "band").where("component <> of")
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def across(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) across components that are left to compare: all of them in bands of few members, and those that an
+    exact prefix join finds among the members of larger bands.
+
+    Shingles are put in order from the rarest. Two sets that reach the threshold have their first common shingle among
+    the first n - ceil(p * n) + 1 of both, and so early that what follows it can still make up the overlap. Heavily edited
+    copies begin with shingles that few others have, so they meet few others, however many copies there are.
+    """
+    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
     small = rows.where(F.col("held") <= SMALL)
-    few = pairs(small, small, F.col("x.node") < F.col("y.node"))
-    large = checkpointed(rows.where(F.col("held") > SMALL))
-    bound = possible_overlap(texts, large.select("node").distinct(), width)
-    able = large.join(bound, "node")
-    # overlap o and sizes m, n can reach the threshold p only if (100 + p) * o >= p * (m + n), and o >= p * m / 100
-    able = checkpointed(able.where((100 * F.col("overlap") >= percent * F.col("n_shingles")) & ((100 + percent) * F.col("overlap") >= percent * (F.col("n_shingles") + F.col("least")))))
-    reach = (100 + percent) * F.least("x.overlap", "y.overlap") >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles"))
-    many = pairs(able, able, (F.col("x.node") < F.col("y.node")) & reach)
-    return few.unionByName(many).distinct()
+    apart = F.col("x.component") != F.col("y.component")
+    near = small.alias("x").join(small.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & (F.col("x.node") < F.col("y.node")) & _alike(percent)).select(*pair)
+    nodes = checkpointed(rows.where(F.col("held") > SMALL).select("node", "n_shingles", "component").distinct())
+    by = Window.partitionBy("shingle")
+    counted = shingle_rows(texts, nodes, width).withColumn("df", F.count("*").over(by))
+    order = Window.partitionBy("node").orderBy("df", "shingle")
+    kept = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    prefix = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= kept)
+    # every pair across components has a side outside the component that most of a shingle's rows share
+    own = F.count("*").over(Window.partitionBy("shingle", "component"))
+    prefix = prefix.withColumn("own", own)
+    ends = {"low": F.min("component").over(by), "high": F.max("component").over(by), "main": F.max(F.struct("own", "component")).over(by)}
+    prefix = checkpointed(prefix.withColumns(ends).where("low <> high").select("shingle", "node", "n_shingles", "component", "place", F.col("main.component").alias("main")))
+    rest = lambda s: F.col(f"{s}.n_shingles") - F.col(f"{s}.place") + 1
+    enough = (100 + percent) * F.least(rest("x"), rest("y")) >= percent * (F.col("x.n_shingles") + F.col("y.n_shingles"))
+    outside = prefix.where("component <> main")
+    many = outside.alias("x").join(prefix.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & apart & _alike(percent) & enough).select(*pair)
+    return near.unionByName(many).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -258,7 +285,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     stars = members.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = checkpointed(confirmed(checkpointed(plausible(stars, classes, percent)), texts, width, percent))
     found = components(links)
-    rest = across(members.select("band", "node"), found, classes, texts, width, percent).join(links, ["a", "b"], "left_anti")
+    members = members.select("band", "node")
+    rows = labelled(members, found, classes)
+    for salt in range(HUBS):
+        met = hub_pairs(rows, links, salt).join(links, ["a", "b"], "left_anti")
+        more = confirmed(checkpointed(plausible(met, classes, percent)), texts, width, percent)
+        grown = checkpointed(links.unionByName(more))
+        new = grown.count() - links.count()
+        links = grown
+        if not new:
+            break
+        found = components(links)
+        rows = labelled(members, found, classes)
+    rest = across(rows, texts, width, percent)
     more = checkpointed(confirmed(checkpointed(plausible(rest, classes, percent)), texts, width, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
