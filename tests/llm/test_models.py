@@ -48,7 +48,7 @@ def test_interactions_are_learned():
     random, rows, places, labels = np.random.default_rng(3), [], [], []
     for i in range(800):
         a, b = random.random(2) < 0.5
-        own = [1] * a + [2] * b + [3 + int(random.integers(20))]
+        own = [1] * int(a) + [2] * int(b) + [3 + int(random.integers(20))]
         rows += [i] * len(own)
         places += own
         labels.append(int(a and b))
