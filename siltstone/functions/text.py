@@ -25,6 +25,11 @@ def tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
 
 
+def token_set(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
+    """The distinct `tokens`, faster on long texts."""
+    return F.filter(F.array_except(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), words_in(stopwords)), lambda t: F.length(t) > 2)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import STOPWORDS, claim_label, excerpt, ngrams, pinned, squeeze, strip, tokens
+from siltstone.functions.text import STOPWORDS, claim_label, excerpt, ngrams, pinned, squeeze, strip, token_set, tokens
 from siltstone.operators import claims, ingest, notes, retrieval, states
 
 #: The driver's prose is invented, so queries take terms that occur in it; the operators' own lists stay the defaults.
@@ -216,15 +216,9 @@ _DUPLICATES = "SELECT doc_id, checksum, duplicate_of, copy FROM (SELECT doc_id,
 
 
 def token_jaccard_pairs(spark, sf_dir):
-    """Documents whose words overlap by 0.6 or more, among those that share a rare word (in 2 to 6 documents)."""
-    w = documents(spark, sf_dir).select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("words"))
-    k = w.select("doc_id", F.explode("words").alias("word"))
-    rare = k.groupBy("word").agg(F.count("*").alias("n")).where("n between 2 and 6").select("word")
-    k = k.join(rare, "word")
-    ids = k.alias("x").join(k.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    both = ids.join(w.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a").join(w.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return both.withColumn("j", shared / (F.size("wa") + F.size("wb") - shared)).where("j >= 0.6").select("a", "b", F.round("j", 6).alias("jaccard"))
+    """All pairs of documents whose words overlap by 0.6 or more. The SQL only knows those that share a rare word."""
+    w = documents(spark, sf_dir).select("doc_id", token_set(F.col("text")).alias("words"))
+    return ingest.jaccard_pairs(w, "doc_id", "words").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 _JACCARD = f"""WITH w AS (SELECT doc_id, list_distinct({_TOKENS.format('text')}) AS words FROM documents), k AS (SELECT doc_id, unnest(words) AS word FROM w), rare AS (SELECT word FROM k GROUP BY word HAVING count(*) BETWEEN 2 AND 6), s AS (SELECT k.* FROM k JOIN rare USING (word)),
