@@ -1,16 +1,20 @@
 """The claim ledger: sentences become typed claims, claims meet in pairs that share a subject, and links decide status.
 
-Pairs come from an equi-join on exploded subject keys; the key that a pair keeps is its least shared one, computed from
-the arrays on both sides, so a pair is made once and no distinct shuffle follows. Keys with very many claims can be left
-to skew handling, which splits either side.
+Contradicting pairs come from an equi-join of positive and negative claims on exploded subject keys; the key that a pair
+keeps is its least shared one, computed from the arrays on both sides, so a pair is made once and no distinct shuffle
+follows. Superseding pairs are very close, so they come from the prefix filter over words. Keys with very many claims can
+be left to skew handling, which splits either side.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import claim_label, claim_units, clean_claim, concept_label, contains_any, jaccard, terms_in, times, tokens
+from siltstone.functions.text import claim_label, claim_units, clean_claim, concept_label, contains_any, jaccard, pinned, terms_in, times, tokens
+from siltstone.operators.ingest import jaccard_pairs
 
 # Cue terms, matched as substrings.
 FACT = ["reported", "printed", "rose", "fell", "held", "stayed", "slipped", "widened", "narrowed"]
@@ -110,11 +114,10 @@ def confidence_label(score: Column) -> Column:
     return F.when(score >= 0.8, "high").when(score >= 0.65, "medium-high").when(score >= 0.45, "medium").otherwise("low")
 
 
-def shared_pairs(claims: DataFrame, columns: list[str]) -> DataFrame:
-    """Unordered pairs of claims (id, keys, columns) that share a key: columns prefixed l_ and r_, l_id < r_id."""
-    kept = ["id", "keys", *columns]
-    side = lambda s: claims.select(F.explode("keys").alias(f"{s}_key"), *[F.col(c).alias(f"{s}_{c}") for c in kept])
-    joined = side("l").join(side("r"), (F.col("l_key") == F.col("r_key")) & (F.col("l_id") < F.col("r_id")))
+def opposed_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs of a positive and a negative class (cid, keys, words) that share a key: columns prefixed l_ and r_, once each."""
+    side = lambda s, polarity: classes.where(F.col("polarity") == polarity).select(F.explode("keys").alias(f"{s}_key"), *[F.col(c).alias(f"{s}_{c}") for c in ("cid", "keys", "words")])
+    joined = side("l", "positive").join(side("r", "negative"), F.col("l_key") == F.col("r_key"))
     return joined.where(F.col("l_key") == F.array_min(F.array_intersect("l_keys", "r_keys"))).drop("l_key", "r_key")
 
 
@@ -123,20 +126,37 @@ def links(claims: DataFrame, overlap: float = 0.32, weaken: float = 0.38, supers
 
     `contradicts`: opposite polarity, and two shared keys or enough common words. `weakens`: the fresher of such a pair
     weakens the other, if they are close. `supersedes`: the fresher of two very close claims of one polarity and type.
+    Claims that agree in all but date and strength are one class; classes are compared, and their members form the edges.
     """
-    p = shared_pairs(claims, ["words", "polarity", "kind", "dated", "strength"])
-    p = p.withColumns({"shared": F.size(F.array_intersect("l_keys", "r_keys")), "close": jaccard(F.col("l_words"), F.col("r_words"))})
+    c = pinned(claims.select("id", "keys", "words", "polarity", "kind", "dated", "strength"), digest=F.sha2(F.to_json(F.struct("keys", "words", "polarity", "kind")), 256))
+    classes = c.groupBy("digest").agg(F.min("id").alias("cid"), *[F.first(x).alias(x) for x in ("keys", "words", "polarity", "kind")]).cache()
+    members = c.join(classes.select("digest", "cid"), "digest").select("cid", "id", "dated", "strength")
+    # contradicting classes: one side positive, the other negative, met by the least key that they share
+    both = pinned(opposed_pairs(classes), shared=F.size(F.array_intersect("l_keys", "r_keys")), close=jaccard(F.col("l_words"), F.col("r_words")))
+    opposed = both.where((F.col("shared") >= 2) | (F.col("close") >= overlap)).select(F.col("l_cid").alias("lc"), F.col("r_cid").alias("rc"), F.lit(True).alias("opposed"), (F.col("close") >= weaken).alias("near"))
+    # superseding classes: pairs of close sets of words, the bound as a fraction
+    least = Fraction(str(supersede))
+    side = lambda s: classes.select(*[F.col(x).alias(f"{s}_{x}") for x in ("cid", "keys", "polarity", "kind")])
+    very = jaccard_pairs(classes, "cid", "words", (least.numerator, least.denominator)).join(side("l"), F.col("a") == F.col("l_cid")).join(side("r"), F.col("b") == F.col("r_cid"))
+    shared = F.size(F.array_intersect("l_keys", "r_keys"))
+    enough = (shared >= 2) | ((shared >= 1) & (F.col("jaccard") >= shared_two))
+    alike = very.where((F.col("l_polarity") == F.col("r_polarity")) & (F.col("l_kind") == F.col("r_kind")) & enough).select(F.col("a").alias("lc"), F.col("b").alias("rc"), F.lit(False).alias("opposed"), F.lit(True).alias("near"))
+    # copies of one claim, close at 1
+    own = F.size(F.array_distinct("keys"))
+    copies = classes.where((F.size("words") > 0) & F.col("polarity").isNotNull() & F.col("kind").isNotNull() & ((own >= 2) | ((own >= 1) & F.lit(shared_two <= 1))) & F.lit(supersede <= 1)).select(F.col("cid").alias("lc"), F.col("cid").alias("rc"), F.lit(False).alias("opposed"), F.lit(True).alias("near"))
+    side = lambda s: members.select(F.col("cid").alias(f"{s}c"), *[F.col(x).alias(f"{s}_{x}") for x in ("id", "dated", "strength")])
+    p = opposed.unionByName(alike).unionByName(copies).join(side("l"), "lc").join(side("r"), "rc").where((F.col("lc") != F.col("rc")) | (F.col("l_id") < F.col("r_id")))
     dated = F.col("l_dated").isNotNull() & F.col("r_dated").isNotNull() & (F.col("l_dated") != F.col("r_dated"))
     left = F.when(dated, F.col("l_dated") > F.col("r_dated")).when(F.col("l_strength") != F.col("r_strength"), F.col("l_strength") > F.col("r_strength"))
-    p = p.withColumns({"stronger": F.when(left, F.col("l_id")).when(~left, F.col("r_id")), "other": F.when(left, F.col("r_id")).when(~left, F.col("l_id"))})
-    opposed = (F.col("l_polarity") != F.col("r_polarity")) & (F.col("l_polarity") != "neutral") & (F.col("r_polarity") != "neutral") & ((F.col("shared") >= 2) | (F.col("close") >= overlap))
-    same = (F.col("l_polarity") == F.col("r_polarity")) & (F.col("l_kind") == F.col("r_kind")) & F.col("stronger").isNotNull() & ((F.col("shared") >= 2) | (F.col("close") >= shared_two)) & (F.col("close") >= supersede)
+    p = p.withColumns({"stronger": F.when(left, F.col("l_id")).when(~left, F.col("r_id")), "other": F.when(left, F.col("r_id")).when(~left, F.col("l_id")), "first": F.least("l_id", "r_id"), "second": F.greatest("l_id", "r_id")})
+    kind = dict(claims.dtypes)["id"]
+    nothing = F.array().cast(f"array<struct<src:{kind},dst:{kind},relation:string>>")
     edge = lambda a, b, r: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(r).alias("relation"))
-    nothing = F.array().cast("array<struct<src:string,dst:string,relation:string>>") if dict(claims.dtypes)["id"] == "string" else F.array().cast("array<struct<src:bigint,dst:bigint,relation:string>>")
+    clear = F.col("stronger").isNotNull()
     made = F.concat(
-        F.when(opposed, F.array(edge("l_id", "r_id", "contradicts"))).otherwise(nothing),
-        F.when(opposed & F.col("stronger").isNotNull() & (F.col("close") >= weaken), F.array(edge("stronger", "other", "weakens"))).otherwise(nothing),
-        F.when(same, F.array(edge("stronger", "other", "supersedes"))).otherwise(nothing),
+        F.when(F.col("opposed"), F.array(edge("first", "second", "contradicts"))).otherwise(nothing),
+        F.when(F.col("opposed") & clear & F.col("near"), F.array(edge("stronger", "other", "weakens"))).otherwise(nothing),
+        F.when(~F.col("opposed") & clear, F.array(edge("stronger", "other", "supersedes"))).otherwise(nothing),
     )
     return p.select(F.explode(made).alias("e")).select("e.*")
 

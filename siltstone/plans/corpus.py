@@ -136,13 +136,13 @@ _CLASSIFICATION = f"WITH {_UNITS}, {_CLASSED} SELECT source, claim_type, polarit
 
 
 def _claims(spark, sf_dir) -> DataFrame:
-    """The first claim of each document, with labels as reviews and the id as its day."""
-    u = _classified(_units(spark, sf_dir)).where("unit is not null").groupBy("doc_id", "source").agg(F.min_by(F.struct("claim_text", "claim_type", "polarity"), "claim_text").alias("c")).select("doc_id", "source", "c.*")
+    """Every claim of each document, its id the document's and its place there; labels as reviews and the document's id as its day."""
+    u = _classified(_units(spark, sf_dir))
     q = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     u = u.join(q, "doc_id", "left")
     keys = claims.subject_keys(F.col("claim_text"), F.array().cast("array<string>"), F.array().cast("array<string>"))
     status = F.when(F.col("quality") == 1, "text_reviewed").when(F.col("quality") == 0, "other").otherwise("")
-    out = u.select(F.col("doc_id").alias("id"), "source", keys.alias("keys"), F.array_distinct(tokens(F.col("claim_text"))).alias("words"), "polarity", F.col("claim_type").alias("kind"), F.col("doc_id").alias("dated"), (F.lit(1000) - F.col("doc_id") % 1000).alias("age_days"), F.lit(0.25).alias("support"), claims.review_weight(status, F.lit("source-note")).alias("review"))
+    out = u.select(F.concat_ws("-", "doc_id", "unit").alias("id"), "source", keys.alias("keys"), F.array_distinct(tokens(F.col("claim_text"))).alias("words"), "polarity", F.col("claim_type").alias("kind"), F.col("doc_id").alias("dated"), (F.lit(1000) - F.col("doc_id") % 1000).alias("age_days"), F.lit(0.25).alias("support"), claims.review_weight(status, F.lit("source-note")).alias("review"))
     out = out.withColumns({"recency": claims.recency_weight(F.col("age_days")), "weight": claims.type_weight(F.col("kind"))})
     return out.withColumn("strength", claims.base_strength(F.col("support"), F.col("recency"), F.col("review"), F.col("weight")))
 
@@ -160,12 +160,12 @@ edges AS (SELECT a AS src, b AS dst, 'contradicts' AS relation FROM opp UNION AL
 
 def claim_links(spark, sf_dir):
     """Contradicting, weakening and superseding pairs of claims."""
-    return claims.links(_claims(spark, sf_dir))
+    return claims.links(_claims(spark, sf_dir).cache())
 
 
 def claim_confidence(spark, sf_dir):
-    c = _claims(spark, sf_dir)
-    out = claims.ledger(c, claims.links(c), 900)
+    c = _claims(spark, sf_dir).cache()
+    out = claims.ledger(c, claims.links(c).cache(), 900)
     return out.select("id", F.col("n_contradicting").alias("n_contra"), F.col("n_superseding").alias("n_super"), F.round("score", 6).alias("score"), "confidence", "status")
 
 
