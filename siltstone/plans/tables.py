@@ -309,7 +309,7 @@ def factor_pca(spark, sf_dir):
 def _regimes(spark, sf_dir):
     model, rows = _factors(spark, sf_dir)
     rows = rows.cache()
-    labels, _ = quant.mixture_regimes(quant.features(rows, len(model.components)), 2, 3, tries=1)
+    labels, _ = quant.mixture_regimes(quant.features(rows, len(model.components)))
     return model, rows, labels.cache()
 
 
