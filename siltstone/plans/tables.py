@@ -323,8 +323,8 @@ def regime_models(spark, sf_dir):
     return quant.regime_models(rows, labels)
 
 
-def scenario_paths(spark: SparkSession, sf_dir: str, seed: int = 11, paths: int = 2000, horizons=(5, 21)) -> DataFrame:
-    """Simulated paths from the panel's regimes."""
+def _simulation(spark: SparkSession, sf_dir: str):
+    """Paths from the panel's regimes by seed, over `simulate`'s own number of paths and horizons; the regimes are fitted once."""
     model, rows, labels = _regimes(spark, sf_dir)
     fitted = sorted((r.asDict() for r in quant.regime_models(rows, labels).collect()), key=lambda r: r["regime"])
     place = {r["regime"]: i for i, r in enumerate(fitted)}
@@ -339,7 +339,12 @@ def scenario_paths(spark: SparkSession, sf_dir: str, seed: int = 11, paths: int
     last = labels.orderBy(F.desc("date")).first()
     posterior = np.array(last["posterior"])[[r["regime"] for r in fitted]]
     held = series.current_run(labelled, "date", "label").first()["n"]
-    return quant.simulate(spark, model, fitted, hazard, leave, posterior, held, paths, horizons, seed, batch=500)
+    return lambda seed: quant.simulate(spark, model, fitted, hazard, leave, posterior, held, seed=seed)
+
+
+def scenario_paths(spark: SparkSession, sf_dir: str, seed: int = 11) -> DataFrame:
+    """Simulated paths from the panel's regimes."""
+    return _simulation(spark, sf_dir)(seed)
 
 
 def monte_carlo_paths(spark, sf_dir):
@@ -351,13 +356,13 @@ def scenario_summary(spark, sf_dir):
 
 
 def scenario_diff(spark, sf_dir):
-    run = lambda seed: series.horizon_stats(scenario_paths(spark, sf_dir, seed, 500), ["horizon", "series_id"], "ret")
-    return quant.run_diff(run(1), run(2), 0.0, 0.0)
+    paths = _simulation(spark, sf_dir)
+    run = lambda seed: series.horizon_stats(paths(seed), ["horizon", "series_id"], "ret")
+    return quant.run_diff(run(1), run(2))
 
 
 def archetype_kmeans(spark, sf_dir):
-    paths = scenario_paths(spark, sf_dir, paths=1000, horizons=(21,))
-    return quant.archetypes(paths.cache())
+    return quant.archetypes(scenario_paths(spark, sf_dir).cache())
 
 
 def dated(query, sql: str, column: str):
