@@ -263,7 +263,7 @@ _CLASS = "SELECT doc_id, CASE WHEN source = 'src2' THEN 'pinned' " + " ".join("W
 
 
 def concept_candidates(spark, sf_dir):
-    d = documents(spark, sf_dir).where("lang = 'en'").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text")
+    d = documents(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text")
     return ingest.concept_candidates(d, "doc_id", "title", "text", ONTOLOGY).select("doc_id", "concept", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
 
 
