@@ -32,7 +32,7 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_document_frequency(spark, sf_dir):
     t = documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    return t.groupBy("token").agg(F.count("*").alias("df")).where("df >= 5")
+    return t.groupBy("token").agg(F.count("*").alias("df"))
 
 
 _TDF = f"SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOKENS.format('text')})) AS token FROM documents) GROUP BY token HAVING count(*) >= 5"
