@@ -46,15 +46,16 @@ def word_counts(array: pa.Array) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def sized(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """(key, source, size) of each document."""
-    picked = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+def sized(docs: DataFrame, key: str, source: str, text: str, tie: str | None = None) -> DataFrame:
+    """(key, source, size) of each document, and its `tie` if that column is named."""
+    more = [F.col(f"`{tie}`").alias("tie")] if tie else []
+    picked = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_counts(batch.column(2)))], ["key", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_counts(batch.column(2))), *batch.columns[3:]], ["key", "source", "size", *["tie"] * bool(tie)])
 
-    return picked.mapInArrow(run, f"key {picked.schema['key'].dataType.simpleString()}, source {picked.schema['source'].dataType.simpleString()}, size long")
+    return picked.mapInArrow(run, f"key {picked.schema['key'].dataType.simpleString()}, source {picked.schema['source'].dataType.simpleString()}, size long" + ", tie string" * bool(tie))
 
 
 def targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -88,10 +89,11 @@ def crossings(place: Column, rate: Column, start: Column) -> Column:
     return (F.floor(start + (place + 1) * rate) - F.floor(start + place * rate)).cast("long")
 
 
-def sample(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7) -> DataFrame:
-    """(key, source, size, source_size, target, copies) of each document."""
+def sample(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, tie: str | None = None) -> DataFrame:
+    """(key, source, size, source_size, target, copies) of each document; a text column `tie` orders equal keys and is kept."""
+    order = ["source", "size", "key", *["tie"] * bool(tie)]
     n = partitions(docs)
-    base = sized(docs, key, source, text).repartitionByRange(n, "source", "size", "key").sortWithinPartitions("source", "size", "key")
+    base = sized(docs, key, source, text, tie).repartitionByRange(n, *order).sortWithinPartitions(*order)
     base = checkpointed(base.withColumn("at", F.monotonically_increasing_id()))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     goal = targets(base)
@@ -109,15 +111,17 @@ def sample(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
     left, size = F.col("target") - F.coalesce("heavy_taken", F.lit(0)), F.col("source_size") - F.coalesce("heavy_size", F.lit(0))
     rate = F.when(size > 0, F.least(F.greatest(left / size, F.lit(0.0)), F.lit(float(CAP)))).otherwise(F.lit(0.0))
     light = light.withColumn("copies", crossings(F.col("place"), rate, offset(F.col("source"), seed, "l"))).drop("heavy_size", "heavy_taken")
-    return drawn.unionByName(light).select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies")
+    return drawn.unionByName(light).select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", *([F.col("tie").alias(tie)] if tie else []))
 
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7) -> DataFrame:
     """The mix itself: each document's row as often as it is drawn, columns unchanged.
 
-    Draws are matched by key, so the key must tell rows apart; rows that share one key (or have none) and one source and
-    size are drawn as a group: each of them is emitted as often as the group's first draw says.
+    Draws are matched by a digest of the whole row, so keys may be null or repeated. Rows that are equal in all columns
+    cannot be told apart: together they are emitted as often as their draws add up to.
     """
-    draws = sample(docs, key, source, text, seed).where("copies > 0").groupBy(F.col(f"`{key}`").alias("drawn_key")).agg(F.max("copies").alias("drawn_copies"))
-    joined = docs.join(draws, F.col(f"`{key}`").eqNullSafe(F.col("drawn_key")))
+    whole = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}), 256)
+    told = docs.withColumn("drawn_row", whole)
+    draws = sample(told, key, source, text, seed, "drawn_row").where("copies > 0").groupBy("drawn_row").agg(F.sum("copies").alias("drawn_copies"))
+    joined = told.dropDuplicates(["drawn_row"]).join(draws, "drawn_row")
     return joined.withColumn("drawn_copy", F.explode(F.sequence(F.lit(1), F.col("drawn_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
