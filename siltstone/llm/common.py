@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker works on at once; longer single texts are taken alone.
 CHUNK_BYTES = 1 << 20
@@ -21,16 +23,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's own setting: an execution's shuffle files go when it ends, not when the driver's garbage is collected.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside free their shuffle files as soon as an action on them ends."""
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints. Only on one machine (tests) is one made up where none is named."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    if held.isEmpty():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
+    """Cut the lineage with a reliable checkpoint in the shared folder; the shuffle files that led to it are freed."""
+    shared_folder(df.sparkSession)
+    with freeing(df.sparkSession):
+        return df.select("*").checkpoint()
 
-    Only where `spark.checkpoint.dir` is unset (tests on one machine) a folder is made up.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+
+def released(*frames: DataFrame) -> None:
+    """Delete the checkpoints of frames that nothing will read again."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def counted(df: DataFrame) -> int:
+    with freeing(df.sparkSession):
+        return df.agg(F.count("*").alias("n")).first()["n"]
 
 
 def default_tokenizer() -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed
+from siltstone.llm.common import checkpointed, freeing, released
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,21 +20,23 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for each node of the edges (a, b) of longs. Other nodes have no row.
 
     Every step is a map-side minimum and a join that skew handling can split, so no node's neighbours are gathered. The
-    steps go on until the edges no longer change; each is checkpointed.
+    steps go on until the edges no longer change; each is checkpointed, and the one before it deleted.
     """
     now = checkpointed(edges.where("a <> b").select("a", "b").distinct())
     before = None
     while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        with freeing(edges.sparkSession):
+            state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == before or not state["n"]:
             break
-        before = state
-        now = checkpointed(_stars(_stars(now, True), False))
+        before, last = state, now
+        now = checkpointed(_stars(_stars(now, True), False).distinct())
+        released(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, mix, partitions, pieces
+from siltstone.llm.common import checkpointed, counted, mix, partitions, pieces, released
 from siltstone.llm.components import components
 from siltstone.llm.shingles import digest, shingle_sets
 
@@ -70,8 +70,8 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketched(docs: DataFrame, key: str, text: str, width: int, registers_too: bool = True) -> DataFrame:
-    """(key, n_shingles, address, registers) of each document; the registers on request."""
+def sketched(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, n_shingles, address, registers) of each document."""
     kind = docs.select(F.col(f"`{key}`")).schema.fields[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def sketched(docs: DataFrame, key: str, text: str, width: int, registers_too: bo
             for held in shingle_sets(batch.column(1), width):
                 sizes.append(len(held))
                 addresses.append(digest(held))
-                registers.append(sketch(held).tobytes() if registers_too else b"")
+                registers.append(sketch(held).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(addresses, pa.binary()), pa.array(registers, pa.binary())], ["key", "n_shingles", "address", "registers"])
 
     return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("read_text")).mapInArrow(run, f"key {kind}, n_shingles long, address binary, registers binary")
@@ -150,13 +150,13 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def few(rows: DataFrame, n: int | None = None) -> DataFrame:
     """The table, to be broadcast where its rows were counted and are few."""
-    return F.broadcast(rows) if (rows.count() if n is None else n) <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if (counted(rows) if n is None else n) <= BROADCAST_ROWS else rows
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold. Each pair's two texts meet in one place."""
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    held = texts.join(few(sides, 2 * pairs.count()), "node").select("a", "b", "node", "packed")
+    held = texts.join(few(sides, 2 * counted(pairs)), "node").select("a", "b", "node", "packed")
     met = held.repartition(partitions(texts), "a", "b").sortWithinPartitions("a", "b", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,41 +270,47 @@ def across(rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each document."""
-    linkable = sketched(docs, key, text, width).where("key is not null and n_shingles > 0")
+    every = checkpointed(sketched(docs, key, text, width))
+    linkable = every.where("key is not null and n_shingles > 0")
     classes = linkable.groupBy("address").agg(F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
+    named = classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
     bands = band_keys(classes)
     # turning some bits of the nodes' numbers gives each leader order, and the leader back from the least number
     turn = F.xxhash64(F.pmod("band", F.lit(LEADERS))).bitwiseAND(F.lit((1 << 62) - 1))
     shared = bands.groupBy("band").agg(F.count("*").alias("held"), F.min(F.col("node").bitwiseXOR(turn)).alias("first"))
     shared = shared.where("held > 1").select("band", F.col("first").bitwiseXOR(turn).alias("leader"))
     members = checkpointed(bands.join(shared, "band"))
-    named = classes
     classes = checkpointed(classes.join(members.select("node").distinct(), "node", "left_semi"))
     texts = checkpointed(class_texts(docs, classes.select("node", "key", "address"), key, text, width))
     stars = members.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = checkpointed(confirmed(checkpointed(plausible(stars, classes, percent)), texts, width, percent))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        likely = checkpointed(plausible(pairs, classes, percent))
+        links = checkpointed(confirmed(likely, texts, width, percent))
+        released(likely)
+        return links
+
+    links = linked(stars)
     found = components(links)
     members = members.select("band", "node")
     rows = labelled(members, found, classes)
     for salt in range(HUBS):
-        met = hub_pairs(rows, links, salt).join(links, ["a", "b"], "left_anti")
-        more = confirmed(checkpointed(plausible(met, classes, percent)), texts, width, percent)
-        grown = checkpointed(links.unionByName(more))
-        new = grown.count() - links.count()
-        links = grown
-        if not new:
+        more = linked(hub_pairs(rows, links, salt).join(links, ["a", "b"], "left_anti")) if counted(rows) else None
+        if more is None or not counted(more):
             break
+        links = links.unionByName(more)
         found = components(links)
+        released(rows)
         rows = labelled(members, found, classes)
-    rest = across(rows, texts, width, percent)
-    more = checkpointed(confirmed(checkpointed(plausible(rest, classes, percent)), texts, width, percent))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    if counted(rows):
+        more = linked(across(rows, texts, width, percent))
+        if counted(more):
+            found = components(links.unionByName(more))
     own = named.select("node", "address", F.col("key").alias("own")).join(found, "node", "left")
     least = own.where("component is not null").groupBy("component").agg(F.min("own").alias("least"))
     named = checkpointed(own.join(least, "component", "left").select("address", F.coalesce("least", "own").alias("class_component")))
-    out = sketched(docs, key, text, width, False).drop("registers").join(named, "address", "left")
+    released(classes, texts, rows)
+    out = every.select("key", "n_shingles", "address").join(named, "address", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("key").isNotNull(), F.col("class_component"))).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 
@@ -313,9 +319,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     """The rows of `docs` that stay: one of each group of near duplicates. Columns are unchanged.
 
     Rows that repeat one key and text stay once; rows without a key all stay. Only ids move, unless there are very many.
+    Columns may have any names. Empty table: empty result.
     """
-    found = checkpointed(near_duplicates(docs, key, text, width, percent).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("of")).agg(F.count("*").alias("n"), F.max("kept").alias("stays")))
+    id_, own = F.col(f"`{key}`"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(id_.alias("key"), F.col(f"`{text}`").alias("text"), own)
+    found = near_duplicates(rows, "key", "text", width, percent).where("key is not null")
+    found = checkpointed(found.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n"), F.max("kept").alias("stays")))
     gone, again = found.where("not stays").select("of"), found.where("stays and n > 1").select("of")
-    same = F.col(f"`{key}`") == F.col("of")
-    once = docs.join(few(gone.unionByName(again)), same, "left_anti")
-    return once.unionByName(docs.join(few(again), same, "left_semi").dropDuplicates([key, text]))
+    same = F.col("key") == F.col("of")
+    once = rows.select("key", "row").join(few(gone.unionByName(again)), same, "left_anti")
+    twice = rows.join(few(again), same, "left_semi").dropDuplicates(["key", "text"])
+    return once.select("row.*").unionByName(twice.select("row.*"))

@@ -96,3 +96,12 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100)}
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 9, "p", 3, 0), (2, "a b c d e f", 8, "q", 2, 1), (None, "a b c d e f", 7, "r", 1, 0), (3, None, 6, "s", 0, 0), (3, None, 5, "s", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `of` int, stays string, `key` int, `row` int")
+    kept = hyperminhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r["of"]) for r in kept.collect())[0::2] == [("1", 9), ("None", 7)]
+    assert hyperminhash.keep_one(df.limit(0)).count() == 0
