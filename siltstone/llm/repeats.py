@@ -157,69 +157,87 @@ def covered(places: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> tupl
     return owner[at], places[at], places[np.append(at[1:], len(places)) - 1] + window
 
 
-def addressed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.select(F.col(f"`{key}`").alias("key"), F.substring(F.unhex(F.sha2(whole, 256)), 1, 16).alias("address"), whole.alias("text"))
+def source(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
-def _fresh(batches: Iterator[pa.RecordBatch], seen: set) -> Iterator[pa.RecordBatch]:
-    """Pieces of (address, text) without texts that the task has met."""
+def _address(text: pa.Scalar) -> bytes:
+    return hashlib.sha256(text.as_buffer()).digest()[:16]
+
+
+def facts(rows: DataFrame) -> DataFrame:
+    """(key, address, n_bytes, n_words, whole_sha256) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            data, offsets = text_bytes(batch.column(1))
+            whole = [hashlib.sha256(t.as_buffer()) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([w.digest()[:16] for w in whole], pa.binary()), pa.array(np.diff(offsets)), pa.array(np.diff(words(data, offsets)[2])), pa.array([w.hexdigest() for w in whole])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "address", "n_bytes", "n_words", "whole_sha256"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, address binary, n_bytes long, n_words long, whole_sha256 string")
+
+
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], pa.Array]]:
+    """Pieces of (addresses, texts) without texts that the task has met."""
+    seen: set[bytes] = set()
     for batch in pieces(batches, "text"):
-        new = []
-        for address in batch.column(0).to_pylist():
-            new.append(address not in seen)
-            seen.add(address)
+        new, own = [], []
+        for i, text in enumerate(batch.column(0)):
+            if (address := _address(text)) not in seen:
+                new.append(i)
+                own.append(address)
+                seen.add(address)
         if len(seen) > REMEMBERED:
             seen.clear()
-        yield batch.filter(pa.array(new, pa.bool_()))
+        yield own, batch.column(0).take(pa.array(new, pa.int64()))
 
 
 def anchors(texts: DataFrame) -> DataFrame:
     """(anchor, place): the anchors of each text's stretches, and a hash of where each is; for words, of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _fresh(batches, set()):
-            own = np.frombuffer(b"".join(a[:8] for a in batch.column(0).to_pylist()), np.uint64)
+        for addresses, column in _fresh(batches):
+            own = np.frombuffer(b"".join(a[:8] for a in addresses), np.uint64)
             for number, unit in enumerate(UNITS):
-                tokens, offsets = unit.tokens(batch.column(1))
+                tokens, offsets = unit.tokens(column)
                 rows, low, _, _, anchor = stretches(tokens, offsets, unit.window, unit.gram)
                 inside = np.zeros(len(low), np.uint64) if unit.words else (low - offsets[rows]).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(mix(anchor + np.uint64(number)).view(np.int64)), pa.array(mix(own[rows] + mix(inside)).view(np.int64))], ["anchor", "place"])
 
-    return texts.select("address", "text").mapInArrow(run, "anchor long, place long")
+    return texts.select("text").mapInArrow(run, "anchor long, place long")
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
     """(anchor, unit, stretch, address, low, high): the stretches of each text, places in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _fresh(batches, set()):
+        for addresses, column in _fresh(batches):
+            names = pa.array(addresses, pa.binary())
             for number, unit in enumerate(UNITS):
-                tokens, offsets = unit.tokens(batch.column(1))
+                tokens, offsets = unit.tokens(column)
                 rows, low, high, _, anchor = stretches(tokens, offsets, unit.window, unit.gram)
                 held = memoryview(np.ascontiguousarray(tokens).view(np.uint8))
                 size = tokens.itemsize
                 whole = [hashlib.blake2b(held[size * a : size * b], digest_size=16).digest() for a, b in zip(low.tolist(), (high + unit.window).tolist())]
-                columns = [mix(anchor + np.uint64(number)).view(np.int64), np.full(len(rows), number, np.int8), pa.array(whole, pa.binary()), batch.column(0).take(pa.array(rows)), (low - offsets[rows]).astype(np.int32), (high - offsets[rows]).astype(np.int32)]
+                columns = [mix(anchor + np.uint64(number)).view(np.int64), np.full(len(rows), number, np.int8), pa.array(whole, pa.binary()), names.take(pa.array(rows)), (low - offsets[rows]).astype(np.int32), (high - offsets[rows]).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["anchor", "unit", "stretch", "address", "low", "high"])
 
-    return texts.select("address", "text").mapInArrow(run, "anchor long, unit tinyint, stretch binary, address binary, low int, high int")
+    return texts.select("text").mapInArrow(run, "anchor long, unit tinyint, stretch binary, address binary, low int, high int")
 
 
-def packed_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+def packed_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(address, packed): the texts of the `wanted` (address, copy), compressed before they are dealt out."""
-    source = addressed(docs, key, text)
-    kind = source.schema["key"].dataType.simpleString()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in pieces(batches, "text"):
-            packed = [compress(t.as_buffer()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["key", "address", "packed"])
+            texts = list(batch.column(1))
+            columns = [pa.array(map(_address, texts), pa.binary()), pa.array([compress(t.as_buffer()) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "address", "packed"])
 
-    packed = source.mapInArrow(run, f"key {kind}, address binary, packed binary")
+    packed = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, address binary, packed binary")
     chosen = wanted.select(F.col("address").alias("of"), "copy")
     return packed.join(chosen, (F.col("address") == F.col("of")) & F.col("key").eqNullSafe(F.col("copy"))).select("address", "packed")
 
@@ -351,9 +369,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     counts the words under passages of `PASSAGE` words that also occur in another document.
     """
     n = partitions(docs)
-    rows = addressed(docs, key, text)
-    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    classes = checkpointed(rows.groupBy("address").agg(F.count("*").alias("copies"), F.min("key").alias("copy")))
+    rows = source(docs, key, text)
+    every = checkpointed(facts(rows))
+    classes = checkpointed(every.groupBy("address").agg(F.count("*").alias("copies"), F.min("key").alias("copy")))
     again = stored(anchors(rows).groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("anchor"))
     found = stored(occurrences(rows).join(again, "anchor", "left_semi"))
     place = F.struct("address", "low", "high")
@@ -365,7 +383,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     several = stored(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > LARGE).alias("large")))
     chosen = kinds.join(several, "anchor").select("anchor", "unit", "large", "twice", "one.address", "one.low", "one.high")
     wanted = found.select("address").distinct().join(classes, "address").select("address", "copy")
-    texts = stored(packed_texts(docs, wanted, key, text))
+    texts = stored(packed_texts(rows, wanted))
     bodies = stretch_bodies(texts, chosen)
     spans = full.unionByName(sorted_groups(bodies.where("not large"), n))
     if counted(several.where("large")):
@@ -395,7 +413,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     cut = checkpointed(cut.dropDuplicates(["address"]))
     merged = checkpointed(classes.join(cut.drop("spans", "kept"), "address", "left").withColumnRenamed("address", "of"))
     released(again, found, kinds, several, texts, classes)
-    every = rows.select("key", "address", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"), n_words.cast("long").alias("n_words"))
     out = every.join(merged, F.col("address") == F.col("of"))
     twice = (F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)
     return out.select(
