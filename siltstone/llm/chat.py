@@ -120,19 +120,22 @@ def format_chats(rows: DataFrame, tokenizer: str, key: str = "conv_id", turn: st
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
-        for name, turns in whole(batches):
+        encode, types = Encoder(tokenizer), []
+
+        def typed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                types[:] = [batch.schema.field(0).type]
+                yield batch
+
+        for name, turns in whole(typed()):
             formatted, spans = render(turns)
             ids, offsets = encode(formatted)
             mask = loss_mask(offsets, spans[[r == "assistant" for r, _ in turns]])
-            yield pa.RecordBatch.from_pylist([{key: name, "formatted": formatted, "ids": ids.tolist(), "starts": offsets[:, 0].tolist(), "ends": offsets[:, 1].tolist(), "loss_mask": mask.astype(np.int8).tolist()}], pa.schema([(key, KEY[kind]), ("formatted", pa.string()), ("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.int8()))]))
+            yield pa.RecordBatch.from_pylist([{key: name, "formatted": formatted, "ids": ids.tolist(), "starts": offsets[:, 0].tolist(), "ends": offsets[:, 1].tolist(), "loss_mask": mask.astype(np.int8).tolist()}], pa.schema([(key, types[0]), ("formatted", pa.string()), ("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.int8()))]))
 
     return conversations(rows, key, turn, role, text).mapInArrow(run, f"`{key}` {kind}, formatted string, ids array<bigint>, starts array<int>, ends array<int>, loss_mask array<tinyint>")
 
 
-KEY = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def chat_digest(samples: DataFrame, key: str = "conv_id") -> DataFrame:
     """What the samples of `format_chats` say, read back from them: turns, and the text under the loss mask."""
     kind = samples.schema[key].dataType.simpleString()

@@ -82,6 +82,16 @@ def released(*frames: DataFrame) -> None:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where the frame has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def counted(df: DataFrame) -> int:
     with freeing(df.sparkSession):
         return df.agg(F.count("*").alias("n")).first()["n"]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import checkpointed
 
-SHARD_ROWS = 8192
+SHARD_ROWS = 16_384
 BLOCK_QUERIES = 8192
 LINKS = 16
 EF_BUILD, EF_SEARCH = 80, 160
@@ -291,7 +291,12 @@ def build_index(vectors: DataFrame, n_rows: int, k: int, shard_rows: int = SHARD
 
 
 def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH) -> DataFrame:
-    """(query_id, rank, key, score): the k nearest rows found for each query row, the query's own id left out."""
+    """(query_id, rank, key, score): the k nearest rows found for each query row, the query's own id left out.
+
+    Ids may be of any type that sorts; others than whole numbers are numbered in their order for the search.
+    """
+    if rows.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return _by_number(rows, queries, key, vector, k, shard_rows, ef)
     index, shards = build_index(usable(rows, key, vector), rows.count(), k, shard_rows)
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     index = checkpointed(index).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -307,9 +312,10 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
             starts, owned = graph.column("id_starts")[0].values.to_numpy(), graph.column("ids")[0].values.to_numpy()
             layers = [(nodes := np.frombuffer(one["nodes"], np.int32), np.frombuffer(one["links"], np.int32).reshape(len(nodes), -1)) for one in graph.column("layers")[0].as_py()]
             names = asks.column("id").to_pylist()
-            found, exact = search(vectors, layers, _matrix(asks.column("vector"), dim), k + 1, ef)
-            for name, nodes, near in zip(names, found, exact):
-                held = sorted((-s, i) for node, s in zip(nodes[nodes >= 0], near.tolist()) for i in owned[starts[node] : starts[node + 1]].tolist() if i != name)[:k]
+            found, exact = search(vectors, layers, _matrix(asks.column("vector"), dim), max(ef, k + 1), ef)
+            least = exact[:, min(k, exact.shape[1] - 1)]  # vectors that tie with the last one stay, so that ids settle the tie
+            for name, nodes, near, last in zip(names, found, exact, least):
+                held = sorted((-s, i) for node, s in zip(nodes[(nodes >= 0) & (near >= last)], near.tolist()) for i in owned[starts[node] : starts[node + 1]].tolist() if i != name)[:k]
                 scores.append([-s for s, _ in held])
                 ids.append([i for _, i in held])
         return pa.table([pa.array(c, t) for c, t in zip((names, scores, ids), types)], ["query_id", "scores", "ids"])
@@ -320,3 +326,16 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     merged = parts.groupBy("query_id").agg(F.flatten(F.collect_list(pairs)).alias("all"))
     best = merged.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("place", "pair"))
     return best.select("query_id", (F.col("place") + 1).alias("rank"), F.col("pair.id").alias(key), (-F.col("pair.far")).alias("score"))
+
+
+def _by_number(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, shard_rows: int, ef: int) -> DataFrame:
+    ids = rows.select(F.col(f"`{key}`").alias("name")).unionByName(queries.select(F.col(f"`{key}`").alias("name")))
+    ids = checkpointed(ids.where("name is not null").distinct().orderBy("name").withColumn("number", F.monotonically_increasing_id()))
+
+    def numbered(frame: DataFrame) -> DataFrame:
+        return frame.select(F.col(f"`{key}`").alias("name"), F.col(f"`{vector}`").alias("vector")).join(ids, "name").select("number", "vector")
+
+    found = nearest(numbered(rows), numbered(queries), "number", "vector", k, shard_rows, ef)
+    asked = ids.select(F.col("name").alias("query"), F.col("number").alias("query_id"))
+    named = found.join(asked, "query_id").join(ids, "number")
+    return named.select(F.col("query").alias("query_id"), "rank", F.col("name").alias(key), "score")

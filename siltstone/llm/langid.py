@@ -5,9 +5,9 @@ places with a weight per language. Learned transitions tie neighbours, so a word
 language of its run, and code-switched text changes label where the evidence does. Forward-backward gives each word's
 marginals; a document's language has the largest mean marginal over its words with letters, and that mean is the score.
 
-Training, on the driver, is bounded: `SAMPLE` documents a language, chosen by a hash of the id, `WORDS` words of them in
-all. Labelled texts are cut into runs of random length and strung together, so that transitions are learned from text
-that switches. Prediction is one pass over whole texts without a shuffle, vectorised over documents at each position.
+Training, on the driver, is bounded: `SAMPLE` documents a language, chosen by a hash of the id, with all their words.
+Labelled texts are cut into runs of random length and strung together, so that transitions are learned from text that
+switches. Prediction is one pass over whole texts without a shuffle, vectorised over documents at each position.
 
 Defined results. Null text, or a text without letters: `und` with score 0. Null language or id: not learned from; a null
 id is not held out. Repeated rows: the same prediction. No labelled rows: `und` throughout. Very long texts are read
@@ -28,9 +28,10 @@ from siltstone.llm.common import Roller, mix, pieces, text_bytes, words
 from siltstone.llm.toxicity import _LETTER, folded, remainder
 
 BITS = 18
-#: Labelled documents of each language in the fit, at most, and words in all.
+#: Labelled documents of each language in the fit, at most.
 SAMPLE = 150
-WORDS = 400_000
+#: Bytes of text that a worker labels at once: a word has some 25 features.
+LABELLED_BYTES = 1 << 18
 RUN, SEQUENCE, BATCH, EPOCHS = 12, 48, 64, 2
 #: The pipeline keeps documents whose language has at least this mean marginal.
 LEAST = 0.4
@@ -161,12 +162,13 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Field:
     starts, ends, first = words(data, offsets)
     letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
     label = np.repeat([languages.index(x) for x in langs], np.diff(first))
-    cuts = [np.arange(first[i], first[i + 1], RUN) for i in range(len(texts))]
-    runs = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
-    stops = np.minimum(runs + random.integers(2, RUN + 1, len(runs)), np.repeat(first[1:], [len(c) for c in cuts]))
+    begins = random.random(len(starts)) < 2 / RUN
+    begins[first[:-1][first[:-1] < first[1:]]] = True
+    runs = np.flatnonzero(begins)
+    stops = np.append(runs[1:], len(starts))
     order = random.permutation(len(runs))
     chosen = np.concatenate([np.arange(runs[i], stops[i]) for i in order] or [np.zeros(0, np.int64)])
-    chosen = chosen[letters[ends[chosen]] > letters[starts[chosen]]][:WORDS]
+    chosen = chosen[letters[ends[chosen]] > letters[starts[chosen]]]
     n, size = len(chosen), len(languages)
     weights, transition, initial = np.zeros((1 << BITS, size), np.float32), np.zeros((size, size)), np.zeros(size)
     grown, grown_t = np.full((1 << BITS, size), 1e-2, np.float32), np.full((size, size), 1.0)
@@ -217,7 +219,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     kind = docs.select(F.col(f"`{key}`")).schema.fields[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "read_text"):
+        for batch in pieces(batches, "read_text", LABELLED_BYTES):
             names, found = shared.value.predict(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(found)], [key, "held_out", "lang_pred", "score"])
 
@@ -231,7 +233,7 @@ def label_words(docs: DataFrame, model: Field, key: str = "doc_id", text: str =
     kind = docs.select(F.col(f"`{key}`")).schema.fields[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "read_text"):
+        for batch in pieces(batches, "read_text", LABELLED_BYTES):
             starts, ends, first, lettered, marginals = shared.value.label(batch.column(1))
             _, offsets = text_bytes(batch.column(1))
             row = np.repeat(np.arange(batch.num_rows), np.diff(first))
@@ -250,7 +252,7 @@ def keep_identified(docs: DataFrame, text: str = "text", least: float = LEAST, m
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, LABELLED_BYTES):
             names, found = shared.value.predict(batch.column(place))
             yield batch.filter(pa.array((np.array(names) != "und") & (found >= least)))
 

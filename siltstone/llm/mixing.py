@@ -1,10 +1,11 @@
 """Mixing sources to target weights by systematic sampling.
 
-Within a source, documents are put in order of size; each has the same expected number of copies, target / size of its
-source, so the prefix sum of expected copies at position i is i times that rate. One random offset per source is added,
-and a document is emitted once for each whole number that its stretch of the prefix sum crosses. The order by size keeps
-the words taken within one document of the target. Documents that hold over 1/64 of their source's words (fewer than 64
-a source) are drawn first, the same way, and the rate of the others is set for what is left of the target.
+Within a source, expected copies are summed up document by document; one random offset per source is added to that prefix
+sum, and a document is emitted once for each whole number that its stretch of the sum crosses. Documents that hold over
+1/64 of their source's words (fewer than 64 a source) come first, each expected target / size of its source times; the
+sum then goes on over the others in order of size, whose expected copies share what the first ones leave of the target.
+So a source with one giant document comes near its target, too, and the order by size keeps the others within one of
+their documents of it.
 
 The prefix sum runs over a range partitioning by (source, size, key), which splits a hot source by size and a hot size by
 key: each partition numbers its own rows, counts per partition and source are summed up, and no task sees a whole source.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import SEPARATOR, checkpointed, partitions, pieces, text_bytes
+from siltstone.llm.common import SEPARATOR, checkpointed, partitions, pieces, private, text_bytes
 
 CAP = 3
 HEAVY = 64
@@ -78,9 +79,9 @@ def targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS
     return per.select("source", "source_size", F.when(F.col("stopped"), ceiling.cast("double")).otherwise(level).alias("target"))
 
 
-def offset(source: Column, seed: int, salt: str) -> Column:
-    """A number in [0, 1) that only the seed, the salt and the source determine."""
-    digest = F.md5(F.concat(F.lit(f"{seed}{salt}"), F.coalesce(source, F.lit("\0null"))).cast("binary"))
+def offset(source: Column, seed: int) -> Column:
+    """A number in [0, 1) that only the seed and the source determine."""
+    digest = F.md5(F.concat(F.lit(f"{seed}"), F.coalesce(source, F.lit("\0null"))).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
@@ -105,12 +106,13 @@ def sample(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
     rows = rows.join(cells, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("heavy") == F.col("h")))
     rows = rows.withColumn("place", F.col("before") + F.col("at") - F.col("first")).drop("p", "s", "h", "first", "before", "part", "at")
     whole = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    drawn = rows.where("heavy").withColumn("copies", crossings(F.col("place"), whole, offset(F.col("source"), seed, "h")))
-    spent = drawn.groupBy("source").agg(F.sum("size").alias("heavy_size"), F.sum(F.col("copies") * F.col("size")).alias("heavy_taken"))
+    drawn = rows.where("heavy").withColumn("copies", crossings(F.col("place"), whole, offset(F.col("source"), seed)))
+    spent = drawn.groupBy("source").agg(F.count("*").alias("heavy_n"), F.sum("size").alias("heavy_size"), F.sum(F.col("copies") * F.col("size")).alias("heavy_taken"))
     light = rows.where(~F.col("heavy")).join(spent.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     left, size = F.col("target") - F.coalesce("heavy_taken", F.lit(0)), F.col("source_size") - F.coalesce("heavy_size", F.lit(0))
     rate = F.when(size > 0, F.least(F.greatest(left / size, F.lit(0.0)), F.lit(float(CAP)))).otherwise(F.lit(0.0))
-    light = light.withColumn("copies", crossings(F.col("place"), rate, offset(F.col("source"), seed, "l"))).drop("heavy_size", "heavy_taken")
+    start = offset(F.col("source"), seed) + F.coalesce("heavy_n", F.lit(0)) * whole
+    light = light.withColumn("copies", crossings(F.col("place"), rate, start)).drop("heavy_n", "heavy_size", "heavy_taken")
     return drawn.unionByName(light).select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", *([F.col("tie").alias(tie)] if tie else []))
 
 
@@ -120,8 +122,9 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source",
     Draws are matched by a digest of the whole row, so keys may be null or repeated. Rows that are equal in all columns
     cannot be told apart: together they are emitted as often as their draws add up to.
     """
+    row, held, copy = private(docs, "drawn_row", "drawn_copies", "drawn_copy")
     whole = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}), 256)
-    told = docs.withColumn("drawn_row", whole)
-    draws = sample(told, key, source, text, seed, "drawn_row").where("copies > 0").groupBy("drawn_row").agg(F.sum("copies").alias("drawn_copies"))
-    joined = told.dropDuplicates(["drawn_row"]).join(draws, "drawn_row")
-    return joined.withColumn("drawn_copy", F.explode(F.sequence(F.lit(1), F.col("drawn_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    told = docs.withColumn(row, whole)
+    draws = sample(told, key, source, text, seed, row).where("copies > 0").groupBy(row).agg(F.sum("copies").alias(held))
+    joined = told.dropDuplicates([row]).join(draws, row)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(held).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

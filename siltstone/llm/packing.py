@@ -51,9 +51,8 @@ def _byte_of() -> dict[str, int]:
     return {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(other)}
 
 
-def _ranked(path: str) -> dict[bytes, int] | None:
+def _ranked(data: dict) -> dict[bytes, int] | None:
     """The file's vocabulary as bytes to ids, if it is byte-level BPE whose ids follow the order of its merges."""
-    data = json.loads(Path(path).read_text())
     model, pre = data["model"], data["pre_tokenizer"] or {}
     if model.get("type") != "BPE" or data["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
         return None
@@ -68,26 +67,32 @@ def _ranked(path: str) -> dict[bytes, int] | None:
 class Ids:
     """Token ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's pre-tokenizer always cuts before a single space that a word follows, so such stretches encode alone
-    as they do in the text; they are few and recur, and a bounded table keeps their ids. Texts with a space before other
-    white space are encoded whole. Where the file is plain byte-level BPE, whose ids are its merge ranks, a faster library
-    encodes with the same ranks; any other file goes to its own library.
+    Where the file is plain byte-level BPE, whose ids are its merge ranks, a faster library encodes with the same ranks.
+    The pre-tokenizer always cuts before a single space that a word follows, so such stretches encode alone as they do in
+    the text; they are few and recur, and a bounded table keeps their ids. Texts with a space before other white space are
+    encoded whole. Texts that hold an added token (an end-of-text marker, say), and all texts of any other file, are
+    encoded whole by the file's own library, which gives an added token its id.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ranks = _ranked(path)
+        self.path, self.own = path, None
+        data = json.loads(Path(path).read_text())
+        ranks = _ranked(data)
+        added = "|".join(re.escape(t["content"]) for t in data["added_tokens"])
+        self.special = re.compile(added if ranks and added else r"(?!)" if ranks else "", re.IGNORECASE)
         if ranks:
             import tiktoken
 
             self.encode = tiktoken.Encoding(Path(path).stem, pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        if self.own is None:
             from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
+            self.own = Tokenizer.from_file(self.path)
+        return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _bytes(self, text: str) -> bytes:
         return array("I", self.encode(text)).tobytes()
@@ -96,10 +101,11 @@ class Ids:
         if len(self.known) > CACHED:
             self.known.clear()
         known = self.known
-        cut = [None if "\0" in t or _SPACED.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
+        odd = [self.special.search(t) is not None for t in texts]
+        cut = [None if own or "\0" in t or _SPACED.search(t) else t.replace(" ", "\0 ").split("\0") for t, own in zip(texts, odd)]
         for unit in {u for units in cut if units is not None for u in units if u not in known}:
             known[unit] = self._bytes(unit)
-        return [b"".join(map(known.__getitem__, units)) if units is not None else self._bytes(t) for t, units in zip(texts, cut)]
+        return [b"".join(map(known.__getitem__, units)) if units is not None else self._whole(t) if own else self._bytes(t) for t, units, own in zip(texts, cut, odd)]
 
 
 class Packer:

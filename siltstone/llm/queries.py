@@ -52,7 +52,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.ledger_scan(table(spark, sf_dir, "documents"))[0]
+    """The first scan of a corpus: the ledger is empty, and every (blob, rule version) pair unseen."""
+    return secrets.ledger_scan(table(spark, sf_dir, "documents"), ledger=spark.createDataFrame([], secrets.LEDGER))[0]
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +73,12 @@ x AS (SELECT *, sum(source_size) OVER () - sum(ceiling) OVER o + ceiling AS left
 y AS (SELECT *, left_size * weight > ceiling * left_weight AS stopped FROM x),
 t AS (SELECT source, source_size, CASE WHEN stopped THEN ceiling::DOUBLE ELSE (sum(source_size) OVER () - sum(CASE WHEN stopped THEN ceiling ELSE 0 END) OVER ())::DOUBLE * weight / sum(weight) FILTER (WHERE NOT stopped) OVER () END AS target FROM y),
 r AS (SELECT d.*, source_size, target, size * 64 > source_size AS heavy FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, row_number() OVER (PARTITION BY source, heavy ORDER BY size, doc_id) - 1 AS place, ('0x' || substr(md5('7' || CASE WHEN heavy THEN 'h' ELSE 'l' END || coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY source, heavy ORDER BY size, doc_id) - 1 AS place, ('0x' || substr(md5('7' || coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM r),
 h AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM p WHERE heavy),
 hc AS (SELECT *, CAST(floor(u + (place + 1) * rate) - floor(u + place * rate) AS BIGINT) AS copies FROM h),
-g AS (SELECT source, sum(size) AS heavy_size, sum(copies * size) AS heavy_taken FROM hc GROUP BY source),
-l AS (SELECT p.*, CASE WHEN source_size > coalesce(heavy_size, 0) THEN least(greatest((target - coalesce(heavy_taken, 0)) / (source_size - coalesce(heavy_size, 0)), 0), 3) ELSE 0 END AS rate FROM p LEFT JOIN g ON p.source IS NOT DISTINCT FROM g.source WHERE NOT heavy),
-lc AS (SELECT *, CAST(floor(u + (place + 1) * rate) - floor(u + place * rate) AS BIGINT) AS copies FROM l)
+g AS (SELECT source, count(*) AS heavy_n, sum(size) AS heavy_size, sum(copies * size) AS heavy_taken FROM hc GROUP BY source),
+l AS (SELECT p.*, u + coalesce(heavy_n, 0) * CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS start, CASE WHEN source_size > coalesce(heavy_size, 0) THEN least(greatest((target - coalesce(heavy_taken, 0)) / (source_size - coalesce(heavy_size, 0)), 0), 3) ELSE 0 END AS rate FROM p LEFT JOIN g ON p.source IS NOT DISTINCT FROM g.source WHERE NOT heavy),
+lc AS (SELECT *, CAST(floor(start + (place + 1) * rate) - floor(start + place * rate) AS BIGINT) AS copies FROM l)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies * size AS BIGINT) AS taken FROM (SELECT doc_id, size, source_size, target, copies FROM hc UNION ALL SELECT doc_id, size, source_size, target, copies FROM lc)
 """
 

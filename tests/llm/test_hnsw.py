@@ -57,3 +57,18 @@ def test_odd_vectors_ties_and_copies(spark):
     assert out[40] == {1: 7}
     assert set(out) == {0, 20, 40, 100, 120, 140}
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_string_ids_and_ties_at_the_cut(spark):
+    rows = [("b", [1.0, 0.0]), ("a", [1.0, 0.5]), ("c", [1.0, -0.5]), ("d", [1.0, 0.25]), ("e", [0.5, 3.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    found = hnsw.nearest(df, df.where("vec_id = 'b'"), k=2).collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank)] == [("b", "a", 1.0), ("b", "c", 1.0)]
+
+
+def test_recall_of_a_full_shard():
+    random = np.random.default_rng(9)
+    x = random.normal(size=(64, 32))[random.integers(0, 64, hnsw.SHARD_ROWS)] + random.normal(size=(hnsw.SHARD_ROWS, 32))
+    found, _ = hnsw.search(x, hnsw.build(x), x[::100], 20)
+    best = np.argsort(-(x[::100] @ x.T), 1, kind="stable")[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, best)]) >= 0.93

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -204,3 +205,26 @@ def test_mixing_odd_rows(spark, odd):
     assert mixing.sample(odd.limit(0)).count() == 0
     mixed = mixing.mix_documents(odd)
     assert mixed.columns == odd.columns
+
+
+def test_clashing_columns_and_key_types(spark):
+    rows = [(1, "token = abcdef0123456789abcdef0123456789 z", "s", "b", "p", "r", 1, 2), (2, "plain words here", "s", "b", "p", "r", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, hit_blob string, hit_spans string, drawn_row string, drawn_copies int, drawn_copy int")
+    cut = secrets.redact(df)
+    assert cut.columns == df.columns and {r.doc_id: r.text for r in cut.collect()} == {1: f"{secrets.MARK} z", 2: "plain words here"}
+    mixed = mixing.mix_documents(df)
+    assert mixed.columns == df.columns and mixed.count() >= 1
+    turns = spark.createDataFrame([(7, 0, "user", "q"), (7, 1, "assistant", "a")], "conv_id short, turn int, role string, text string")
+    assert [(r.conv_id, r.n_turns, r.loss_chars) for r in chat.chat_digest(chat.format_chats(turns, default_tokenizer())).collect()] == [(7, 2, 1)]
+
+
+def test_web_tokens_in_one_pass():
+    rule = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    random.seed(11)
+    for _ in range(4000):
+        text = "".join(random.choices(["eyJ", "eyJabcdefgh", ".", "a" * 8, "abc", " ", "_-9"], k=random.randrange(1, 14)))
+        assert list(secrets.web_tokens(text)) == [m.span() for m in rule.finditer(text)]
+    began = time.time()
+    secrets.find("eyJ" * 3_500_000)
+    secrets.find("eyJabcdefgh." * 900_000)
+    assert time.time() - began < 30

@@ -13,7 +13,6 @@ def plain_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return [[*e.ids, 1] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
