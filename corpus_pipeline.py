@@ -2,18 +2,20 @@
 
 `STAGES` holds (name, function); each function takes (spark, docs, sf_dir) and returns the next stage's documents with
 their columns unchanged, the last one the pieces of sequences. `run` applies them to the documents of a folder, with each
-stage's result written as Parquet in the folder that the session names in `spark.checkpoint.dir` and read again.
+stage's result written as Parquet in the folder that the session names in `spark.checkpoint.dir` and read again, and
+deleted when the next one is written.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, further columns of any names and empty
+tables (an empty result). Ties: the least id stays in `near_dedup`; rows that are equal throughout are drawn together in
+`mix`. Rows with null text go in `language_id`, as they hold no letters.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import hyperminhash, langid, mixing, packing, secrets
-from siltstone.llm.common import default_tokenizer
+from siltstone.llm.common import default_tokenizer, released, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='checkpoint-')}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        if i:
+            released(before)
     return STAGES[-1][1](spark, docs, sf_dir)
