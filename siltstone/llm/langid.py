@@ -30,8 +30,8 @@ from siltstone.llm.toxicity import _LETTER, folded, remainder
 BITS = 18
 #: Labelled documents of each language in the fit, at most.
 SAMPLE = 150
-#: Bytes of text that a worker labels at once: a word has some 25 features.
-LABELLED_BYTES = 1 << 18
+#: Bytes of text that a worker labels at once: chains step together, so that small pieces cost more steps.
+LABELLED_BYTES = 1 << 20
 RUN, SEQUENCE, BATCH, EPOCHS = 12, 48, 64, 2
 #: The pipeline keeps documents whose language has at least this mean marginal.
 LEAST = 0.4
