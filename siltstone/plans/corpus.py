@@ -35,7 +35,7 @@ def token_document_frequency(spark, sf_dir):
     return t.groupBy("token").agg(F.count("*").alias("df"))
 
 
-_TDF = f"SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOKENS.format('text')})) AS token FROM documents) GROUP BY token HAVING count(*) >= 5"
+_TDF = f"SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOKENS.format('text')})) AS token FROM documents) GROUP BY token"
 
 
 def bm25_search(spark, sf_dir):
@@ -147,15 +147,25 @@ def _claims(spark, sf_dir) -> DataFrame:
     return out.withColumn("strength", claims.base_strength(F.col("support"), F.col("recency"), F.col("review"), F.col("weight")))
 
 
-_FIRST = f"""{_UNITS}, {_CLASSED}, one AS (SELECT doc_id, source, min(claim_text) AS claim_text FROM classed GROUP BY doc_id, source), c AS (SELECT DISTINCT k.* FROM classed k JOIN one USING (doc_id, source, claim_text)),
-w AS (SELECT c.*, {_TOKENS.format('claim_text')} AS toks, quality FROM c LEFT JOIN labels USING (doc_id)),
-cl AS (SELECT doc_id AS id, source, polarity, claim_type AS kind, list_distinct(toks[1:10]) AS keys, list_distinct(toks) AS words, 1000 - doc_id % 1000 AS age_days, CASE WHEN quality = 1 THEN 0.85::DOUBLE WHEN quality = 0 THEN 0.6::DOUBLE ELSE 0.35::DOUBLE END AS review, CASE claim_type WHEN 'fact' THEN 1.0::DOUBLE WHEN 'inference' THEN 0.75::DOUBLE WHEN 'estimate' THEN 0.65::DOUBLE ELSE 0.45::DOUBLE END AS weight FROM w),
-cr AS (SELECT *, CASE WHEN age_days <= 30 THEN 1.0::DOUBLE WHEN age_days <= 90 THEN 0.8::DOUBLE WHEN age_days <= 180 THEN 0.6::DOUBLE WHEN age_days <= 365 THEN 0.35::DOUBLE WHEN age_days <= 730 THEN 0.15::DOUBLE ELSE 0.05::DOUBLE END AS recency FROM cl),
-k AS (SELECT id, unnest(keys) AS key FROM cr), ids AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.key = y.key AND x.id < y.id),
-p AS (SELECT a, b, l.polarity AS lp, r.polarity AS rp, l.kind AS lk, r.kind AS rk, len(list_intersect(l.keys, r.keys)) AS shared, len(list_intersect(l.words, r.words)) / (len(l.words) + len(r.words) - len(list_intersect(l.words, r.words)))::DOUBLE AS close FROM ids JOIN cr l ON l.id = a JOIN cr r ON r.id = b),
-opp AS (SELECT a, b, close FROM p WHERE lp <> rp AND lp <> 'neutral' AND rp <> 'neutral' AND (shared >= 2 OR close >= 0.32)),
-sup AS (SELECT b AS src, a AS dst FROM p WHERE lp = rp AND lk = rk AND (shared >= 2 OR close >= 0.78) AND close >= 0.72),
-edges AS (SELECT a AS src, b AS dst, 'contradicts' AS relation FROM opp UNION ALL SELECT b, a, 'weakens' FROM opp WHERE close >= 0.38 UNION ALL SELECT src, dst, 'supersedes' FROM sup)"""
+_PLACED = f"""l0 AS (SELECT doc_id, source, unnest(x) AS raw, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, source, string_split_regex(text, '\\r?\\n') AS x FROM documents)),
+l1 AS (SELECT doc_id, source, i, {_CLEAN.format("regexp_replace(raw, '^\\s*[-*]\\s+', '')")} AS line FROM l0),
+l2 AS (SELECT doc_id, source, i, unnest(x) AS piece, generate_subscripts(x, 1) AS j FROM (SELECT doc_id, source, i, string_split(regexp_replace(line, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS x FROM l1 WHERE line <> '' AND NOT starts_with(line, '|') AND NOT contains(line, ' | '))),
+l3 AS (SELECT doc_id, source, claim_text, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS unit FROM (SELECT doc_id, source, i, j, {_CLEAN.format('piece')} AS claim_text FROM l2) WHERE claim_text <> ''),
+units AS (SELECT * FROM l3 WHERE length(claim_text) BETWEEN 45 AND 360 AND length(regexp_replace(claim_text, '[^A-Za-z]', '', 'g')) >= 25 AND NOT regexp_matches(claim_text, '(?i)^({"|".join(claims.BOILERPLATE)})'))"""
+#: Opposed claims meet by any shared key. Claims of one polarity and type that are closer than 0.72 share one of their first
+#: n - ceil(0.72 n) + 1 words, from the rarest, so only those words pair them.
+_EDGES = f"""{_PLACED}, {_CLASSED}, w AS (SELECT k.*, {_TOKENS.format('claim_text')} AS toks, quality FROM classed k LEFT JOIN labels USING (doc_id)),
+cl AS MATERIALIZED (SELECT doc_id || '-' || unit AS id, doc_id AS dated, polarity, claim_type AS kind, list_distinct(toks[1:10]) AS keys, list_distinct(toks) AS words, 1000 - doc_id % 1000 AS age_days, CASE WHEN quality = 1 THEN 0.85::DOUBLE WHEN quality = 0 THEN 0.6::DOUBLE ELSE 0.35::DOUBLE END AS review, CASE claim_type WHEN 'fact' THEN 1.0::DOUBLE WHEN 'inference' THEN 0.75::DOUBLE WHEN 'estimate' THEN 0.65::DOUBLE ELSE 0.45::DOUBLE END AS weight FROM w),
+cr AS MATERIALIZED (SELECT *, 0.25::DOUBLE * 0.4::DOUBLE + recency * 0.3::DOUBLE + review * 0.15::DOUBLE + weight * 0.15::DOUBLE AS strength FROM (SELECT *, CASE WHEN age_days <= 30 THEN 1.0::DOUBLE WHEN age_days <= 90 THEN 0.8::DOUBLE WHEN age_days <= 180 THEN 0.6::DOUBLE WHEN age_days <= 365 THEN 0.35::DOUBLE WHEN age_days <= 730 THEN 0.15::DOUBLE ELSE 0.05::DOUBLE END AS recency FROM cl)),
+k AS (SELECT id, polarity, unnest(keys) AS key FROM cr WHERE polarity <> 'neutral'), oid AS (SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM k x JOIN k y ON x.key = y.key AND x.polarity = 'positive' AND y.polarity = 'negative'),
+df AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM cr) GROUP BY word),
+pre AS (SELECT id, polarity, kind, word FROM (SELECT id, polarity, kind, word, len(words) AS m, row_number() OVER (PARTITION BY id ORDER BY n, word) AS place FROM (SELECT id, polarity, kind, words, unnest(words) AS word FROM cr) JOIN df USING (word)) WHERE place <= m - ceil(m * 0.72) + 1),
+sid AS (SELECT DISTINCT x.id AS a, y.id AS b FROM pre x JOIN pre y ON x.word = y.word AND x.id < y.id AND x.polarity = y.polarity AND x.kind = y.kind),
+p AS (SELECT m.a, m.b, opposed, len(list_intersect(l.keys, r.keys)) AS shared, len(list_intersect(l.words, r.words)) / (len(l.words) + len(r.words) - len(list_intersect(l.words, r.words)))::DOUBLE AS close,
+CASE WHEN l.dated <> r.dated THEN l.dated > r.dated WHEN l.strength <> r.strength THEN l.strength > r.strength END AS leads FROM (SELECT *, true AS opposed FROM oid UNION ALL SELECT *, false FROM sid) m JOIN cr l ON l.id = m.a JOIN cr r ON r.id = m.b),
+edges AS (SELECT a AS src, b AS dst, 'contradicts' AS relation FROM p WHERE opposed AND shared >= 1 AND (shared >= 2 OR close >= 0.32)
+UNION ALL SELECT CASE WHEN leads THEN a ELSE b END, CASE WHEN leads THEN b ELSE a END, 'weakens' FROM p WHERE opposed AND (shared >= 2 OR close >= 0.32) AND close >= 0.38 AND leads IS NOT NULL
+UNION ALL SELECT CASE WHEN leads THEN a ELSE b END, CASE WHEN leads THEN b ELSE a END, 'supersedes' FROM p WHERE NOT opposed AND (shared >= 2 OR (shared >= 1 AND close >= 0.78)) AND close >= 0.72 AND leads IS NOT NULL)"""
 
 
 def claim_links(spark, sf_dir):
@@ -169,7 +179,7 @@ def claim_confidence(spark, sf_dir):
     return out.select("id", F.col("n_contradicting").alias("n_contra"), F.col("n_superseding").alias("n_super"), F.round("score", 6).alias("score"), "confidence", "status")
 
 
-_CONFIDENCE = f"""WITH {_FIRST}, n AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges WHERE relation = 'contradicts' UNION ALL SELECT dst FROM edges WHERE relation = 'contradicts') GROUP BY id), s AS (SELECT dst AS id, count(*) AS m FROM edges WHERE relation = 'supersedes' GROUP BY dst),
+_CONFIDENCE = f"""WITH {_EDGES}, n AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges WHERE relation = 'contradicts' UNION ALL SELECT dst FROM edges WHERE relation = 'contradicts') GROUP BY id), s AS (SELECT dst AS id, count(*) AS m FROM edges WHERE relation = 'supersedes' GROUP BY dst),
 v AS (SELECT cr.*, coalesce(n, 0) AS n_contra, coalesce(m, 0) AS n_super FROM cr LEFT JOIN n USING (id) LEFT JOIN s USING (id)),
 z AS (SELECT *, 0.25::DOUBLE * 0.3::DOUBLE + recency * 0.25::DOUBLE + review * 0.15::DOUBLE + weight * 0.15::DOUBLE + CASE n_contra WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.65::DOUBLE WHEN 2 THEN 0.45::DOUBLE ELSE 0.25::DOUBLE END * 0.1::DOUBLE + CASE WHEN n_super > 0 THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END * 0.05::DOUBLE AS score FROM v)
 SELECT id, n_contra, n_super, round(score, 6) AS score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.65 THEN 'medium-high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN n_super > 0 THEN 'superseded' WHEN age_days > 900 THEN 'stale' WHEN n_contra > 0 THEN 'contested' ELSE 'active' END AS status FROM z"""
@@ -216,14 +226,16 @@ _DUPLICATES = "SELECT doc_id, checksum, duplicate_of, copy FROM (SELECT doc_id,
 
 
 def token_jaccard_pairs(spark, sf_dir):
-    """All pairs of documents whose words overlap by 0.6 or more. The SQL only knows those that share a rare word."""
+    """All pairs of documents whose words overlap by 0.6 or more."""
     w = documents(spark, sf_dir).select("doc_id", token_set(F.col("text")).alias("words"))
     return ingest.jaccard_pairs(w, "doc_id", "words").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-_JACCARD = f"""WITH w AS (SELECT doc_id, list_distinct({_TOKENS.format('text')}) AS words FROM documents), k AS (SELECT doc_id, unnest(words) AS word FROM w), rare AS (SELECT word FROM k GROUP BY word HAVING count(*) BETWEEN 2 AND 6), s AS (SELECT k.* FROM k JOIN rare USING (word)),
+#: Sets of an overlap of 0.6 share one of their first n - ceil(0.6 n) + 1 words, from the rarest.
+_JACCARD = f"""WITH w AS MATERIALIZED (SELECT doc_id, list_distinct({_TOKENS.format('text')}) AS words FROM documents), k AS (SELECT doc_id, len(words) AS m, unnest(words) AS word FROM w), df AS (SELECT word, count(*) AS n FROM k GROUP BY word),
+s AS (SELECT doc_id, word FROM (SELECT doc_id, word, m, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS place FROM k JOIN df USING (word)) WHERE place <= m - ceil(m * 3 / 5.0) + 1),
 ids AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.word = y.word AND x.doc_id < y.doc_id), j AS (SELECT a, b, len(list_intersect(l.words, r.words)) AS i, len(l.words) + len(r.words) AS t FROM ids JOIN w l ON l.doc_id = a JOIN w r ON r.doc_id = b)
-SELECT a, b, round(i / (t - i)::DOUBLE, 6) AS jaccard FROM j WHERE i / (t - i)::DOUBLE >= 0.6"""
+SELECT a, b, round(i / (t - i)::DOUBLE, 6) AS jaccard FROM j WHERE i * 5 >= (t - i) * 3"""
 
 
 def benchmark_overlap(spark, sf_dir):
@@ -270,7 +282,7 @@ def concept_candidates(spark, sf_dir):
 _words = lambda e: f"array_to_string(regexp_extract_all(lower({e}), '[a-z0-9]+'), ' ')"
 _good = lambda w: f"(length({w}) > 2 AND {w} NOT IN ({_STOP}) AND NOT regexp_matches({w}, '^[0-9]+$'))"
 _grams = lambda c, n: f"SELECT doc_id, array_to_string(w[i:i+{n - 1}], ' ') AS concept FROM (SELECT doc_id, string_split({c}, ' ') AS w, unnest(range(1, len(string_split({c}, ' ')) - {n} + 2)) AS i FROM d) WHERE " + " AND ".join(_good(f"w[i+{j}]") for j in range(n))
-_CONCEPTS = f"""WITH d AS (SELECT doc_id, {_words("split_part(text, chr(10), 1)")} AS t, {_words("text")} AS b FROM documents WHERE lang = 'en'),
+_CONCEPTS = f"""WITH d AS (SELECT doc_id, {_words("split_part(text, chr(10), 1)")} AS t, {_words("text")} AS b FROM documents),
 f AS (SELECT doc_id, term AS concept, 'term' AS kind FROM d, (VALUES {', '.join(f"('{t}')" for t in ONTOLOGY)}) o(term) WHERE contains(' ' || t || ' ' || ' ' || b || ' ', ' ' || term || ' ')
 UNION ALL SELECT *, 'title' FROM ({_grams('t', 2)}) UNION ALL SELECT *, 'title' FROM ({_grams('t', 3)}) UNION ALL SELECT *, 'body' FROM ({_grams('b', 2)}) UNION ALL SELECT *, 'body' FROM ({_grams('b', 3)})
 UNION ALL SELECT doc_id, w, 'word' FROM (SELECT doc_id, unnest(string_split(b, ' ')) AS w FROM d) WHERE {_good('w')} AND length(w) >= 5),
@@ -330,7 +342,7 @@ SELECT * FROM (SELECT label, path, row_number() OVER (PARTITION BY label ORDER B
 QUERIES = {
     "token_document_frequency": (token_document_frequency, _TDF), "bm25_search": (bm25_search, _bm25_sql()), "review_adjusted_search": (review_adjusted_search, _REVIEWED),
     "tiered_retrieval": (tiered_retrieval, _TIERED), "keyword_excerpt": (keyword_excerpt, _excerpt_sql()), "claim_units": (claim_units, _CLAIM_UNITS),
-    "claim_classification": (claim_classification, _CLASSIFICATION), "claim_links": (claim_links, f"WITH {_FIRST} SELECT src, dst, relation FROM edges"), "claim_confidence": (claim_confidence, _CONFIDENCE),
+    "claim_classification": (claim_classification, _CLASSIFICATION), "claim_links": (claim_links, f"WITH {_EDGES} SELECT src, dst, relation FROM edges"), "claim_confidence": (claim_confidence, _CONFIDENCE),
     "claim_snapshot_diff": (claim_snapshot_diff, _DIFF), "state_label_vote": (state_label_vote, _VOTE), "overlay_bias": (overlay_bias, _OVERLAY), "exact_duplicates": (exact_duplicates, _DUPLICATES),
     "token_jaccard_pairs": (token_jaccard_pairs, _JACCARD), "benchmark_overlap": (benchmark_overlap, _BENCHMARK), "secret_scan": (secret_scan, _SECRETS), "secret_masking": (secret_masking, None),
     "document_class": (document_class, _CLASS), "concept_candidates": (concept_candidates, _CONCEPTS), "label_rollup": (label_rollup, _TAGS), "required_field_lint": (required_field_lint, _LINT),
