@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import corpus, tables
+from siltstone.plans import corpus, knowledge, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (corpus, tables)
+MODULES = (corpus, tables, knowledge)
 
 
 def queries() -> dict[str, Query]:
