@@ -21,8 +21,7 @@ def words_in(values: list[str]) -> Column:
 
 def tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """Lower-case runs of a-z and 0-9 that are longer than two and no stopword, in order with repeats."""
-    stop = words_in(stopwords)
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: (F.length(t) > 2) & ~t.isin(stopwords))
 
 
 def token_set(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
@@ -183,6 +182,16 @@ def ngrams(words: Column, n: int) -> Column:
     return F.filter(grams, lambda x: x.isNotNull())
 
 
+#: Tables under so many bytes a core are dealt out before text work: a file of one row group is one task.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; larger ones as their scan splits them, so that no large table is moved for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SPREAD_BYTES * cores else df
+
+
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     """`df` with columns computed once per row: the optimizer does not copy them into what uses them, lambdas above all."""
     for name, value in columns.items():

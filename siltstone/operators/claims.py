@@ -37,9 +37,9 @@ BOILERPLATE = [
 STATUSES = ("active", "contested", "stale", "superseded")
 
 
-def is_claim(text: Column) -> Column:
-    """45 to 360 characters, 25 letters or more, and no boilerplate opening."""
-    clean = clean_claim(text)
+def is_claim(text: Column, clean: bool = False) -> Column:
+    """45 to 360 characters, 25 letters or more, and no boilerplate opening; `clean` says that the text has been cleaned."""
+    clean = text if clean else clean_claim(text)
     return F.length(clean).between(45, 360) & ~clean.rlike("(?i)^(?:" + "|".join(BOILERPLATE) + ")") & (F.length(F.regexp_replace(clean, "[^A-Za-z]", "")) >= 25)
 
 
@@ -63,7 +63,7 @@ def stance(text: Column, support=POSITIVE, weaken=NEGATIVE) -> Column:
 
 def units(notes: DataFrame, text: str = "text") -> DataFrame:
     """One row per claim-like sentence, with its place `unit` in the note."""
-    return notes.select("*", F.posexplode(claim_units(F.col(text))).alias("unit", "claim_text")).drop(text).where(is_claim(F.col("claim_text")))
+    return notes.select("*", F.posexplode(claim_units(F.col(text))).alias("unit", "claim_text")).drop(text).where(is_claim(F.col("claim_text"), True))
 
 
 def claim_id(path: Column, text: Column, year: int) -> Column:

@@ -86,12 +86,12 @@ def scored(documents: DataFrame, query: str, adjustment: Column | None = None) -
     names = list(documents.columns)
     kinds = dict.fromkeys(asked)
     texts = {"title": F.col("title"), "metadata": F.col("metadata"), "body": F.col("content")}
-    counted = pinned(documents, **{f"_{field}": tokens(text) for field, text in texts.items()})
-    for field in FIELDS:
-        counted = counted.withColumn(f"_{field}_n", F.size(f"_{field}"))
-        for i, t in enumerate(kinds):
-            counted = counted.withColumn(f"_{field}_{i}", times(F.col(f"_{field}"), t))
-    counted = counted.drop(*[f"_{f}" for f in FIELDS])
+    # of a field's tokens only their number and those that the query asks for are kept; the array is bound once
+    kept = lambda text: F.element_at(F.transform(F.array(tokens(text)), lambda t: F.struct(F.size(t).alias("n"), F.filter(t, lambda x: x.isin(list(kinds)) if kinds else F.lit(False)).alias("hits"))), 1)
+    counted = pinned(documents, **{f"_{field}": kept(text) for field, text in texts.items()})
+    own = {f"_{field}_n": F.col(f"_{field}.n") for field in FIELDS}
+    own |= {f"_{field}_{i}": times(F.col(f"_{field}.hits"), t) for field in FIELDS for i, t in enumerate(kinds)}
+    counted = counted.withColumns(own).drop(*[f"_{f}" for f in FIELDS])
     stats = [F.count("*").alias("_docs")]
     for field in FIELDS:
         stats.append(F.avg(f"_{field}_n").alias(f"_{field}_avg"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import STOPWORDS, claim_label, excerpt, ngrams, pinned, squeeze, strip, token_set, tokens
+from siltstone.functions.text import STOPWORDS, claim_label, excerpt, ngrams, pinned, spread, squeeze, strip, token_set, tokens
 from siltstone.operators import claims, ingest, notes, retrieval, states
 
 #: The driver's prose is invented, so queries take terms that occur in it; the operators' own lists stay the defaults.
@@ -20,7 +20,7 @@ _TOKENS = f"list_filter(string_split_regex(lower({{}}), '[^a-z0-9]+'), lambda t:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
