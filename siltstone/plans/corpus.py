@@ -259,7 +259,13 @@ _SECRETS = "WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')
 
 
 def secret_masking(spark, sf_dir):
-    return ingest.sensitive_hits(documents(spark, sf_dir), "doc_id", "text").select("doc_id", "line", "label", "preview")
+    return ingest.sensitive_hits(documents(spark, sf_dir), "doc_id", "text").select("doc_id", F.col("line").cast("long").alias("line"), "label", "preview")
+
+
+_flat_match = "regexp_replace(regexp_replace(m, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+_mask = f"CASE WHEN regexp_matches(m, '(?i)PRIVATE KEY') THEN regexp_replace(m, '(?i)PRIVATE KEY', 'PRIVATE KEY (masked)', 'g') WHEN length({_flat_match}) <= 12 THEN repeat('*', length({_flat_match})) ELSE left({_flat_match}, 4) || '...' || right({_flat_match}, 4) END"
+_quoted = lambda p: "'" + p.replace("'", "''") + "'"
+_MASKING = "WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS n FROM documents), h AS (" + " UNION ALL ".join(f"SELECT doc_id, n, '{k}' AS label, string_split_regex(line, {_quoted(p)}) AS gaps, list_transform(regexp_extract_all(line, {_quoted(p)}), lambda m: {_mask}) AS masks FROM l WHERE {_hit(p)}" for k, p in ingest.SENSITIVE.items()) + ") SELECT DISTINCT doc_id, CAST(n AS BIGINT) AS line, label, preview FROM (SELECT *, regexp_replace(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(masks[i], '')), ''), '^\\s+|\\s+$', '', 'g') AS preview FROM h) WHERE preview <> ''"
 
 
 _RULES = (("alpha", ("thing", "of the")), ("beta", ("ertion", "onthe")), ("gamma", ("der", "les")))
@@ -344,7 +350,7 @@ QUERIES = {
     "tiered_retrieval": (tiered_retrieval, _TIERED), "keyword_excerpt": (keyword_excerpt, _excerpt_sql()), "claim_units": (claim_units, _CLAIM_UNITS),
     "claim_classification": (claim_classification, _CLASSIFICATION), "claim_links": (claim_links, f"WITH {_EDGES} SELECT src, dst, relation FROM edges"), "claim_confidence": (claim_confidence, _CONFIDENCE),
     "claim_snapshot_diff": (claim_snapshot_diff, _DIFF), "state_label_vote": (state_label_vote, _VOTE), "overlay_bias": (overlay_bias, _OVERLAY), "exact_duplicates": (exact_duplicates, _DUPLICATES),
-    "token_jaccard_pairs": (token_jaccard_pairs, _JACCARD), "benchmark_overlap": (benchmark_overlap, _BENCHMARK), "secret_scan": (secret_scan, _SECRETS), "secret_masking": (secret_masking, None),
+    "token_jaccard_pairs": (token_jaccard_pairs, _JACCARD), "benchmark_overlap": (benchmark_overlap, _BENCHMARK), "secret_scan": (secret_scan, _SECRETS), "secret_masking": (secret_masking, _MASKING),
     "document_class": (document_class, _CLASS), "concept_candidates": (concept_candidates, _CONCEPTS), "label_rollup": (label_rollup, _TAGS), "required_field_lint": (required_field_lint, _LINT),
     "dialogue_rollup": (dialogue_rollup, _DIALOGUE), "recurring_themes": (recurring_themes, _THEMES), "ontology_terms": (ontology_terms, _TERMS),
 }
