@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import STOPWORDS, concept_label, pinned, slug, squeeze, truncated
-from siltstone.operators import claims, concepts, ingest, intake, knowledge, lint, watch
+from siltstone.functions.text import STOPWORDS, concept_label, phrase_count, pinned, slug, squeeze, truncated
+from siltstone.operators import claims, concepts, ingest, intake, knowledge, lint, quant, retrieval, rules, watch
 from siltstone.plans import corpus
 from siltstone.plans.corpus import DOWN, ONTOLOGY, UP, documents
 
@@ -568,7 +568,82 @@ UNION ALL SELECT CASE WHEN kind = 'draft-note' THEN 'info' ELSE 'warning' END, '
 SELECT severity, rule, detail, count(*) AS n, min(path) AS first_path FROM i GROUP BY ALL"""
 
 
+def claim_stance(spark, sf_dir):
+    c = _claims(spark, sf_dir)
+    return c.groupBy("source", claims.stance(F.col("claim_text"), UP, DOWN).alias("stance")).agg(F.count("*").alias("n"))
+
+
+_held = lambda words: "(" + " + ".join(f"CAST(contains(lower(claim_text), '{w}') AS INT)" for w in words) + ")"
+_STANCE = f"WITH {_CLAIMS} SELECT source, CASE WHEN {_held(DOWN)} > {_held(UP)} THEN 'weakening' ELSE 'supportive' END AS stance, count(*) AS n FROM cm GROUP BY ALL"
+
+
+def phrase_counts(spark, sf_dir):
+    d = pinned(documents(spark, sf_dir).select("source", "text"), b=concept_label(F.col("text")))
+    counts = [F.sum(phrase_count(F.col("b"), F.lit(t))).alias(f"n_{i}") for i, t in enumerate(TERMS)]
+    return d.groupBy("source").agg(*counts)
+
+
+_occurs = lambda t: f"CAST(sum(CAST((length({_pad('b')}) - length(replace({_pad('b')}, ' {t} ', ''))) / {len(t) + 2} AS INT)) AS BIGINT)"
+_PHRASE_COUNTS = f"SELECT source, {', '.join(f'{_occurs(t)} AS n_{i}' for i, t in enumerate(TERMS))} FROM (SELECT source, {_label('text')} AS b FROM documents) GROUP BY source"
+
+
+def claim_search(spark, sf_dir):
+    c = _claims(spark, sf_dir).select("id", "claim_text", F.col("origin").alias("origin_title"), "status", F.col("score").alias("confidence_score"))
+    asked = retrieval.query_tokens(corpus.QUERY)
+    return claims.search_claims(c, asked, "thing", 24, ("active", "stale")).select("id", F.round("claim_score", 6).alias("claim_score"))
+
+
+def _search_sql() -> str:
+    asked = retrieval.query_tokens(corpus.QUERY)
+    words = " + ".join(f"len(list_filter(t, lambda x: x = '{a}')) + CASE WHEN contains(lower(origin), '{a}') THEN 2 ELSE 0 END" for a in asked)
+    return f"""WITH {_CLAIMS}, s AS (SELECT id, score * 6::DOUBLE + {words} + CASE WHEN contains(lower(claim_text), 'thing') THEN 8 ELSE 0 END + CASE status WHEN 'stale' THEN -2 ELSE 0 END AS claim_score FROM (SELECT *, {corpus._TOKENS.format('claim_text')} AS t FROM cm) WHERE status IN ('active', 'stale'))
+SELECT id, round(claim_score, 6) AS claim_score FROM s WHERE claim_score > 0 ORDER BY s.claim_score DESC, id LIMIT 24"""
+
+
+def stale_reviews(spark, sf_dir):
+    """Orders as rules: reviewed when ordered, with a trigger unless the priority is low; the last order is the present."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    last = o.agg(F.max("o_orderdate").alias("as_of"))
+    rows = o.select("o_orderkey", F.col("o_orderdate").alias("reviewed_at"), F.when(F.col("o_orderpriority").startswith("5"), "").otherwise(F.col("o_orderpriority")).alias("review_trigger"))
+    found = rules.stale_reviews(rows.crossJoin(F.broadcast(last)), F.col("as_of"), 700)
+    return found.groupBy("review_trigger").agg(F.count("*").alias("n"), F.max("age_days").alias("oldest"))
+
+
+_STALE = "SELECT o_orderpriority AS review_trigger, count(*) AS n, max(age) AS oldest FROM (SELECT *, CAST(floor((epoch((SELECT max(o_orderdate) FROM orders)) - epoch(o_orderdate)) / 86400) AS BIGINT) AS age FROM orders) WHERE o_orderpriority[1] <> '5' AND age >= 700 GROUP BY 1"
+
+_COMPOSITES = list(quant.ORDER)
+
+
+def regime_order(spark, sf_dir):
+    """Days of orders in four regimes by the day's number, with composites by the order's."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("date"), "o_orderkey", "o_totalprice")
+    labels = o.select("date", (F.datediff("date", F.lit("1990-01-01").cast("date")) % 4).alias("regime")).distinct()
+    name = F.get(F.array(*map(F.lit, _COMPOSITES)), (F.col("o_orderkey") % len(_COMPOSITES)).cast("int"))
+    composites = o.groupBy("date", name.alias("composite")).agg((F.avg("o_totalprice") / 1e6).alias("ret"))
+    return quant.regime_order(labels, composites).withColumn("place", F.col("place").cast("long"))
+
+
+_ORDER = f"""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS date, {_list(_COMPOSITES)}[o_orderkey % {len(_COMPOSITES)} + 1] AS composite, avg(o_totalprice) / 1e6::DOUBLE AS ret FROM orders GROUP BY ALL), l AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) % 4 AS INT) AS regime FROM orders),
+m AS (SELECT regime, composite, avg(ret) AS m FROM l JOIN o USING (date) GROUP BY ALL), s AS (SELECT regime, sum(m * CASE composite {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in quant.ORDER.items())} END) AS score FROM m GROUP BY regime) SELECT regime, row_number() OVER (ORDER BY score DESC, regime) - 1 AS place FROM s"""
+
+
+def regime_labels(spark, sf_dir):
+    """Parts' numbers as mean composites of regimes, and the names that these get."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k = F.col("p_partkey")
+    part = lambda a, b: ((k * a) % b - F.floor(F.lit(b) / 2)) / 10000.0
+    label = quant.regime_label(part(7, 23), part(5, 19), part(3, 29), part(11, 31), part(13, 17), k % 4, "north-asia-ai-hardware")
+    return p.select(label.alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+_part = lambda a, b: f"((p_partkey * {a}) % {b} - {b // 2}) / 10000.0::DOUBLE"
+_REGIME_LABELS = f"""WITH c AS (SELECT p_partkey % 4 AS place, {_part(7, 23)} AS risk, {_part(5, 19)} AS def, {_part(3, 29)} AS hw, {_part(11, 31)} AS na, {_part(13, 17)} AS en FROM part)
+SELECT CASE WHEN na > 0.0005::DOUBLE AND hw > 0.0007::DOUBLE THEN 'North Asia hardware leadership' WHEN risk > 0.0005::DOUBLE AND def < 0.0002::DOUBLE AND en <= 0.0002::DOUBLE THEN CASE WHEN hw > 0.0005::DOUBLE THEN 'Risk-on disinflation / hardware leadership' ELSE 'Risk-on disinflation' END WHEN risk < -0.0003::DOUBLE AND en > 0.0004::DOUBLE THEN 'Inflation shock / energy squeeze' WHEN risk < -0.0003::DOUBLE AND def > 0.0003::DOUBLE THEN 'Growth scare / duration bid'
+WHEN risk > 0.0003::DOUBLE AND en > 0.0004::DOUBLE THEN 'Reflation / higher-rate risk-on' WHEN hw > 0.0005::DOUBLE AND risk >= -0.0002::DOUBLE THEN 'Selective hardware leadership' WHEN def > 0.0004::DOUBLE AND risk >= -0.0002::DOUBLE THEN 'Defensive carry / slower growth' ELSE 'Cross-asset regime ' || (place + 1) END AS label, count(*) AS n FROM c GROUP BY ALL"""
+
+
 QUERIES = {
+    "claim_stance": (claim_stance, _STANCE), "phrase_counts": (phrase_counts, _PHRASE_COUNTS), "claim_search": (claim_search, _search_sql()), "stale_reviews": (stale_reviews, _STALE), "regime_order": (regime_order, _ORDER), "regime_labels": (regime_labels, _REGIME_LABELS),
     "concept_index": (concept_index, _CONCEPT_INDEX), "source_index": (source_index, _SOURCE_INDEX), "candidate_frequency": (candidate_frequency, _FREQUENCY), "contradiction_candidates": (contradiction_candidates, _CONTRADICTIONS),
     "synthesis_candidates": (synthesis_candidates, _SYNTHESIS), "unresolved_registers": (unresolved_registers, _UNRESOLVED), "collection_counts": (collection_counts, _COLLECTIONS), "claim_hints": (claim_hints, _HINTS),
     "page_claims": (page_claims, _PAGE_CLAIMS), "ledger_order": (ledger_order, _LEDGER_ORDER), "ledger_counts": (ledger_counts, _LEDGER_COUNTS), "claim_counters": (claim_counters, _COUNTERS), "note_concepts": (note_concepts, _NOTE_CONCEPTS),
