@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import STOPWORDS, concept_label, phrase_count, pinned, slug, squeeze, truncated
-from siltstone.operators import claims, concepts, ingest, intake, knowledge, lint, quant, retrieval, rules, watch
+from siltstone.operators import claims, concepts, ingest, intake, knowledge, lint, quant, retrieval, rules, selfnotes, watch
 from siltstone.plans import corpus
 from siltstone.plans.corpus import DOWN, ONTOLOGY, UP, documents
 
@@ -642,7 +642,68 @@ SELECT CASE WHEN na > 0.0005::DOUBLE AND hw > 0.0007::DOUBLE THEN 'North Asia ha
 WHEN risk > 0.0003::DOUBLE AND en > 0.0004::DOUBLE THEN 'Reflation / higher-rate risk-on' WHEN hw > 0.0005::DOUBLE AND risk >= -0.0002::DOUBLE THEN 'Selective hardware leadership' WHEN def > 0.0004::DOUBLE AND risk >= -0.0002::DOUBLE THEN 'Defensive carry / slower growth' ELSE 'Cross-asset regime ' || (place + 1) END AS label, count(*) AS n FROM c GROUP BY ALL"""
 
 
+_SELF = ["wiki/self/heuristics/", "wiki/self/", "wiki/self/modes/", "notes/"]
+_SAYS = ["", " BIAS ", "unknown"]
+
+
+def self_schemas(spark, sf_dir):
+    """Documents as notes on oneself, whose words are mapped to the schemas' by replacement."""
+    d = documents(spark, sf_dir).select("doc_id", "source", F.replace("source", F.lit("src1"), F.lit("tone ")).alias("text"))
+    pick = lambda values, k: F.get(F.array(*map(F.lit, values)), (F.col("doc_id") % k).cast("int"))
+    path = F.concat(pick(_SELF, 4), F.col("doc_id").cast("string"), F.lit(".md"))
+    return d.select(selfnotes.inferred_schema(path, F.col("text"), pick(_SAYS, 3)).alias("schema")).groupBy("schema").agg(F.count("*").alias("n"))
+
+
+_SCHEMAS = "SELECT CASE WHEN doc_id % 3 = 1 THEN 'bias' WHEN doc_id % 4 = 0 THEN 'heuristic' WHEN doc_id % 4 = 2 THEN 'mode' WHEN contains(source, 'src1') THEN 'communication-style' ELSE 'constitution' END AS schema, count(*) AS n FROM documents GROUP BY 1"
+
+
+def command_scopes(spark, sf_dir):
+    """Orders as commands: their status is the command, their priority the topic; modes and budgets by their number."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    command = F.when(F.col("o_orderstatus") == "F", "report").when(F.col("o_orderstatus") == "O", "deck").otherwise("other")
+    topic = F.when(F.col("o_custkey") % 3 == 0, "Oil and a breakout").when(F.col("o_custkey") % 3 == 1, "code TESTS")
+    k = (F.col("o_orderkey") % 4).cast("int")
+    mode, asked = F.get(F.array(*map(F.lit, ["Index", " brief", "deep", "x"])), k), F.when(F.col("o_orderkey") % 5 == 0, " l1 ")
+    rows = o.select(F.array_join(selfnotes.applicability(command, topic), ",").alias("scope"), selfnotes.budget(mode, asked).alias("budget"))
+    return rows.groupBy("scope", "budget").agg(F.count("*").alias("n"))
+
+
+_SCOPES = """SELECT CASE o_orderstatus WHEN 'F' THEN 'investment,macro,valuation,writing' WHEN 'O' THEN 'investment,macro,writing' ELSE 'global,writing' END || CASE o_custkey % 3 WHEN 0 THEN ',trading' || CASE WHEN o_orderstatus IN ('F', 'O') THEN '' ELSE ',macro' END WHEN 1 THEN ',coding' ELSE '' END || CASE WHEN o_orderstatus IN ('F', 'O') THEN ',global' ELSE '' END AS scope,
+CASE WHEN o_orderkey % 5 = 0 THEN 'L1' ELSE ['L0', 'L1', 'L3', 'L2'][o_orderkey % 4 + 1] END AS budget, count(*) AS n FROM orders GROUP BY ALL"""
+
+
+def source_routing(spark, sf_dir):
+    """Notes whose class or draft is filled in; the text is the source, as the class words do not occur in invented prose."""
+    n = notes(spark, sf_dir).where("document_class = '' or doc_id % 2 = 0")
+    rows = n.select("title", "source_type", F.when(F.col("doc_id") % 3 == 0, "minutes of it").otherwise("zzz").alias("text"), "document_class", F.when(F.col("doc_id") % 5 == 0, "d.md").alias("draft_path"), F.col("doc_id").cast("string").alias("id"), "path").withColumn("title", F.lit("A zz"))
+    return selfnotes.routed(rows).select("path", "document_class", "draft_path")
+
+
+_ROUTING = f"""WITH {_NOTES} SELECT path, CASE WHEN document_class <> '' THEN document_class WHEN source_type = 'dataset' THEN 'dataset_snapshot' WHEN source_type = 'image' THEN 'visual_capture' WHEN doc_id % 3 = 0 THEN 'meeting_notes' WHEN source_type = 'paper' THEN 'research_note' WHEN source_type = 'web' THEN 'article_or_web_capture' ELSE 'working_note' END AS document_class,
+CASE WHEN doc_id % 5 = 0 THEN 'd.md' ELSE 'wiki/drafts/append-review/a-zz.md' END AS draft_path FROM n WHERE document_class = '' OR doc_id % 2 = 0"""
+
+
+def latest_logs(spark, sf_dir):
+    """The last seven days of events as logs, found by their names."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    files = e.select(F.concat(F.lit("wiki/memory/daily/"), F.to_date("ts").cast("string"), F.lit(".md")).alias("path")).distinct().unionByName(spark.createDataFrame([("wiki/memory/daily/index.md",), ("wiki/memory/daily/zz.md",)], "path string"))
+    return selfnotes.latest_names(files, r"^\d{4}-\d{2}-\d{2}\.md$", 7)
+
+
+_LOGS = "SELECT DISTINCT 'wiki/memory/daily/' || CAST(CAST(ts AS DATE) AS VARCHAR) || '.md' AS path FROM events ORDER BY path DESC LIMIT 7"
+
+
+def section_heads(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    body = F.concat(F.lit("## Open Loops\n"), "lang", F.lit("\n  x\n## Watchpoints\n\n## Active Priorities\n"), F.repeat(F.concat("source", F.lit(" ")), 200))
+    heads = selfnotes.section_heads(body, ["Active Priorities", "Open Loops", "Watchpoints", "Missing"])
+    return d.select("doc_id", F.array_join(F.map_keys(heads), ",").alias("headings"), F.element_at(heads, F.lit("Open Loops")).alias("loops"), F.length(F.element_at(heads, F.lit("Active Priorities"))).cast("long").alias("size"))
+
+
+_HEADS = "SELECT doc_id, 'Active Priorities,Open Loops' AS headings, lang || ' x' AS loops, CAST(least(600, 200 * length(source) + 199) AS BIGINT) AS size FROM documents"
+
 QUERIES = {
+    "self_schemas": (self_schemas, _SCHEMAS), "command_scopes": (command_scopes, _SCOPES), "source_routing": (source_routing, _ROUTING), "latest_logs": (latest_logs, _LOGS), "section_heads": (section_heads, _HEADS),
     "claim_stance": (claim_stance, _STANCE), "phrase_counts": (phrase_counts, _PHRASE_COUNTS), "claim_search": (claim_search, _search_sql()), "stale_reviews": (stale_reviews, _STALE), "regime_order": (regime_order, _ORDER), "regime_labels": (regime_labels, _REGIME_LABELS),
     "concept_index": (concept_index, _CONCEPT_INDEX), "source_index": (source_index, _SOURCE_INDEX), "candidate_frequency": (candidate_frequency, _FREQUENCY), "contradiction_candidates": (contradiction_candidates, _CONTRADICTIONS),
     "synthesis_candidates": (synthesis_candidates, _SYNTHESIS), "unresolved_registers": (unresolved_registers, _UNRESOLVED), "collection_counts": (collection_counts, _COLLECTIONS), "claim_hints": (claim_hints, _HINTS),
