@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import squeeze, truncated
+from siltstone.functions.text import squeeze, strip, truncated
 
 # Source types by extension, and folders of the raw archive by type.
 TYPES = {
@@ -162,16 +162,16 @@ def safe_fields(fields: Column, scalar: int = 4000, title: int = 240) -> Column:
 def safe_body(body: Column, most: int) -> Column:
     """The body, or an error where it is empty or over `most` characters."""
     size = F.length(F.coalesce(body, F.lit("")))
-    return F.when(F.trim(F.coalesce(body, F.lit(""))) == "", F.raise_error(F.lit("the body is empty"))).when(size > most, F.raise_error(F.concat(F.lit("the body is too long: "), size))).otherwise(body)
+    return F.when(strip(F.coalesce(body, F.lit(""))) == "", F.raise_error(F.lit("the body is empty"))).when(size > most, F.raise_error(F.concat(F.lit("the body is too long: "), size))).otherwise(body)
 
 
 def frontmatter(fields: Column) -> Column:
     """A map of strings as frontmatter that reads back as it was: plain where nothing could be taken otherwise, else quoted."""
-    odd = lambda v: ~v.rlike(r"^[A-Za-z0-9_./:@ -]+$") | v.contains(": ") | (v != F.trim(v)) | v.rlike(r"^(?:true|false|null|~|-?\d+(?:\.\d+)?)$")
+    odd = lambda v: ~v.rlike(r"^[A-Za-z0-9_./:@ -]+$") | v.contains(": ") | (v != strip(v)) | v.rlike(r"^(?:true|false|null|~|-?\d+(?:\.\d+)?)$")
     quoted = lambda v: F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
     lines = F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), F.when(odd(F.coalesce(e["value"], F.lit(""))), quoted(F.coalesce(e["value"], F.lit("")))).otherwise(e["value"])))
     return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"))
 
 
 def markdown(fields: Column, body: Column) -> Column:
-    return F.concat(frontmatter(fields), F.lit("\n"), F.trim(F.coalesce(body, F.lit(""))), F.lit("\n"))
+    return F.concat(frontmatter(fields), F.lit("\n"), strip(F.coalesce(body, F.lit(""))), F.lit("\n"))
