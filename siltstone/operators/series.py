@@ -50,7 +50,7 @@ def rolling(rows: DataFrame, group: str, order: str, value: str, means: tuple[in
 
 def composites(rets: DataFrame, bridge: DataFrame) -> DataFrame:
     """(composite, date, ret): the mean return of a composite's members; `bridge` (composite, series_id) is small."""
-    return rets.join(F.broadcast(bridge), "series_id").groupBy("composite", "date").agg(F.avg("ret").alias("ret"))
+    return rets.join(bridge, "series_id").groupBy("composite", "date").agg(F.avg("ret").alias("ret"))
 
 
 def runs(rows: DataFrame, group: str, order: list[str], label: str) -> DataFrame:
@@ -97,7 +97,7 @@ def current_run(rows: DataFrame, order: str, label: str) -> DataFrame:
 def horizon_stats(values: DataFrame, group: list[str], value: str) -> DataFrame:
     """Mean, median, share above 0, four quantiles and expected shortfall (mean of values up to the 5% quantile)."""
     q = values.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.array(*[F.lit(p) for p in (0.05, 0.1, 0.5, 0.9, 0.95)])).alias("q"), F.avg((F.col(value) > 0).cast("int")).alias("p_up"))
-    tail = values.join(F.broadcast(q.select(*group, F.col("q")[0].alias("floor"))), group).where(F.col(value) <= F.col("floor")).groupBy(*group).agg(F.avg(value).alias("shortfall"))
+    tail = values.join(q.select(*group, F.col("q")[0].alias("floor")), group).where(F.col(value) <= F.col("floor")).groupBy(*group).agg(F.avg(value).alias("shortfall"))
     named = [F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p10", "median", "p90", "p95"))]
     return q.join(tail, group).select(*group, "n", "mean", "p_up", *named, "shortfall")
 

@@ -51,9 +51,9 @@ def overlay(states: DataFrame, biases: DataFrame) -> DataFrame:
     lead = F.abs(F.col("n_positive") - F.col("n_negative")) / F.greatest(F.col("n_claims"), F.lit(1))
     s = states.withColumn("intensity", F.least(F.greatest(1.0 + lead, F.lit(0.5)), F.lit(1.75)))
     own = biases.select("subject", "state_label").distinct().withColumn("has", F.lit(True))
-    s = s.join(F.broadcast(own), ["subject", "state_label"], "left").withColumn("used", F.when(F.col("has"), F.col("state_label")).otherwise("mixed"))
+    s = s.join(own, ["subject", "state_label"], "left").withColumn("used", F.when(F.col("has"), F.col("state_label")).otherwise("mixed"))
     b = biases.withColumnRenamed("state_label", "used")
-    return s.join(F.broadcast(b), ["subject", "used"]).groupBy("subject", "series").agg(F.sum(F.col("bps") * F.col("intensity")).alias("bias"))
+    return s.join(b, ["subject", "used"]).groupBy("subject", "series").agg(F.sum(F.col("bps") * F.col("intensity")).alias("bias"))
 
 
 def set_diff(rows: DataFrame, group: str, item: str, before: Column, after: Column) -> DataFrame:
