@@ -127,8 +127,11 @@ class Field:
         marginals = np.zeros((len(starts), len(self.languages)))
         if len(starts) and self.languages:
             _, index, back = np.unique(Roller(low).hashes(starts, ends), return_index=True, return_inverse=True)
-            s, e = starts[index], ends[index]
-            places, cut = word_features(low, s, e)
+            s, length = starts[index], ends[index] - starts[index]
+            # the distinct words alone, end to end: features cost memory by the byte
+            begin = np.cumsum(length) - length
+            apart = low[np.arange(int(length.sum())) + np.repeat(s - begin, length)]
+            places, cut = word_features(apart, begin, begin + length)
             scores = np.add.reduceat(self.weights[places], cut, axis=0).astype(np.float64)
             scores[~lettered[index]] = 0
             marginals, _ = forward_backward(scores[back], self.transition, self.initial, first[:-1], np.diff(first))
