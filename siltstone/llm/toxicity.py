@@ -4,7 +4,8 @@ Terms are a text's distinct words and their leading 3 to 8 bytes, hashed to 2**2
 regard to case. The machine adds a weight per term and an inner product of learned vectors per pair of terms, so that an
 insult beside a group's name can weigh more than the two alone. It is fitted on the driver to a bounded sample of labelled
 documents (`SAMPLE` of each label, chosen by a hash of the id), over the `SELECTED` terms that tell the labels apart
-best; scoring is one pass over whole texts without a shuffle, and the model that tasks receive has a fixed size.
+best and the `PARTNERS` terms that tell most in company of another and not alone; scoring is one pass over whole texts
+without a shuffle, and the model that tasks receive has a fixed size.
 
 Defined results. Null or empty text: the score of a text without terms. Null id: scored, never learned from, not held out.
 Null label: not learned from. With no labelled rows, or one label only, the score is the share of label 1 (0 for none).
@@ -27,6 +28,11 @@ BITS = 22
 #: Labelled documents of each label that the model is fitted on, at most.
 SAMPLE = 3000
 SELECTED = 4096
+#: Terms that are tried in pairs (the most frequent of the sample), and those taken for what they tell in pairs, at most.
+PAIRED = 8192
+PARTNERS = 1024
+#: Chi-square that the joint presence of two terms has beyond that of either.
+JOINT = 40
 FACTORS = 6
 PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.7
@@ -101,6 +107,35 @@ def constant(share: float) -> Machine:
     return Machine(np.full(1 << BITS, -1, np.int16), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, 1)))
 
 
+def told(hit: np.ndarray, miss: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Chi-square of presence in `hit` of n1 and `miss` of n0 rows."""
+    both = (hit + miss) / (n1 + n0)
+    return (hit / n1 - miss / n0) ** 2 / (both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
+
+
+def partners(rows: np.ndarray, places: np.ndarray, positive: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Places of terms whose joint presence with another tells `JOINT` more than either alone, the most telling first."""
+    count = np.bincount(places, minlength=1 << BITS)
+    # presence of fewer rows cannot reach the bound, whatever their labels
+    share = positive.mean()
+    often = np.argsort(-count, kind="stable")[:PAIRED]
+    often = often[count[often] >= JOINT * min(share, 1 - share)]
+    place_of = np.full(1 << BITS, -1, np.int32)
+    place_of[often] = np.arange(len(often))
+    kept = place_of[places] >= 0
+    held = np.zeros((len(positive), len(often)), np.uint8)
+    held[rows[kept], place_of[places[kept]]] = 1
+    ones, zeros = held[positive], held[~positive]
+    alone, best = strength[often], np.zeros(len(often))
+    for a in range(0, len(often), 256):
+        for b in range(0, len(often), 1024):
+            joint = [(x[:, a : a + 256].T.astype(np.float32) @ x[:, b : b + 1024].astype(np.float32)).astype(np.float64) for x in (ones, zeros)]
+            more = told(*joint, len(ones), len(zeros)) - np.maximum(alone[a : a + 256, None], alone[None, b : b + 1024])
+            best[a : a + 256] = np.maximum(best[a : a + 256], more.max(1))
+    order = np.argsort(-best, kind="stable")
+    return often[order[best[order] > JOINT]]
+
+
 def fit(rows: np.ndarray, places: np.ndarray, labels: np.ndarray, seed: int = 5) -> Machine:
     """Fit to distinct (row, place) pairs of labelled rows, by Adam on the logistic loss in whole batches."""
     n, positive = len(labels), labels > 0
@@ -109,11 +144,12 @@ def fit(rows: np.ndarray, places: np.ndarray, labels: np.ndarray, seed: int = 5)
     hit = np.bincount(places[positive[rows]], minlength=1 << BITS).astype(np.float64)
     miss = np.bincount(places[~positive[rows]], minlength=1 << BITS).astype(np.float64)
     n1, n0 = positive.sum(), (~positive).sum()
-    p, q, both = hit / n1, miss / n0, (hit + miss) / n
-    strength = (p - q) ** 2 / (both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
+    strength = told(hit, miss, n1, n0)
     strength[hit + miss < 3] = 0
     chosen = np.argsort(-strength, kind="stable")[:SELECTED]
     chosen = chosen[strength[chosen] > 12]
+    paired = partners(rows, places, positive, strength)
+    chosen = np.concatenate((chosen, paired[~np.isin(paired, chosen)][:PARTNERS]))
     slots = np.full(1 << BITS, -1, np.int16)
     slots[chosen] = np.arange(len(chosen))
     kept = slots[places] >= 0

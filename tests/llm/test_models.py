@@ -57,6 +57,34 @@ def test_interactions_are_learned():
     assert score(1, 2) > 0.7 and score(1) < 0.5 and score(2) < 0.5
 
 
+def test_terms_that_tell_in_company_only_are_learned():
+    """Each of two terms is as common in either class; toxic are the rows with both or neither."""
+    random, rows, places, labels = np.random.default_rng(4), [], [], []
+    for i in range(1600):
+        a, b = bool(i & 1), bool(i & 2)
+        own = [1] * a + [2] * b + [3 + int(x) for x in set(random.integers(200, size=8))]
+        rows += [i] * len(own)
+        places += own
+        labels.append(int(a == b))
+    machine = toxicity.fit(np.array(rows), np.array(places), np.array(labels))
+    assert machine.slots[1] >= 0 and machine.slots[2] >= 0
+    score = lambda *x: machine.scores(np.zeros(len(x), int), machine.slots[list(x)].astype(int), 1)[0]
+    assert score(1, 2) > 0.7 and score(1) < 0.3 and score(2) < 0.3
+
+
+def test_partners_against_all_pairs():
+    random = np.random.default_rng(6)
+    held = random.random((500, 30)) < 0.4
+    positive = held[:, 3] ^ held[:, 7] ^ (random.random(500) < 0.1)
+    rows, places = np.nonzero(held)
+    chi = lambda x: toxicity.told(*[np.array([float(x[positive].sum())]), np.array([float(x[~positive].sum())])], positive.sum(), (~positive).sum())[0]
+    strength = np.zeros(1 << toxicity.BITS)
+    strength[:30] = [chi(held[:, i]) for i in range(30)]
+    best = [max((chi(held[:, i] & held[:, j]) - max(strength[i], strength[j]) for j in range(30) if j != i)) for i in range(30)]
+    found = toxicity.partners(rows, places, positive, strength)
+    assert set(found.tolist()) == {i for i in range(30) if best[i] > toxicity.JOINT} and {3, 7} <= set(found.tolist())
+
+
 def test_op6_held_out_accuracy(spark):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.op6_langid(spark, SF).collect()
