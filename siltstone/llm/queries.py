@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import chat, hnsw, hyperminhash, langid, matroska, mixing, packing, repeats, secrets, toxicity
+from siltstone.llm import chat, hnsw, hyperminhash, langid, manifest, matroska, mixing, packing, repeats, secrets, toxicity
 from siltstone.llm.common import default_tokenizer, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,13 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))[0]
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row proven, those with a tampered text against the manifest of the rows as they are."""
+    return manifest.prove(table(spark, sf_dir, "documents"), claimed=manifest.tampered())
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_hyperminhash": op5_hyperminhash, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_repeats": op10_repeats, "pipeline": corpus_pipeline.run}
+    return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_hyperminhash": op5_hyperminhash, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_repeats": op10_repeats, "op11_manifest": op11_manifest, "pipeline": corpus_pipeline.run}
 
 
 #: Mixing is plain arithmetic over an order, down to the hashed offsets.
@@ -83,8 +88,43 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies *
 """
 
 
+def _framed(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _op11_tree(name: str, by: str, levels: int) -> str:
+    """CTEs of a tree over `name`0 (by, pos, n, h): in each level the node above a run, and each node's siblings in its run."""
+    out = []
+    for k in range(levels):
+        run = f"PARTITION BY {by}, pos // 8 ORDER BY pos ROWS BETWEEN"
+        out.append(f"{name}{k}s AS (SELECT *, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})")
+        out.append(f"{name}{k + 1} AS (SELECT {by}, pos // 8 AS pos, (max(n) + 7) // 8 AS n, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {name}{k} GROUP BY {by}, pos // 8)")
+    return ", ".join(out)
+
+
+def _op11_sql(levels: int = 9, top_levels: int = 4) -> str:
+    """Unrolled for up to 8 ** levels rows of a language, 8 ** top_levels languages; beyond its root a level changes nothing."""
+    fields = lambda text: " || ".join(map(_framed, ("doc_id", "source", "lang", "n_chars", text)))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # DuckDB has no crc32: a byte at a time through the table of the reflected polynomial
+    table = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    ctes = [f"crc AS (SELECT {table} AS t)", f"d AS (SELECT doc_id, lang, sha256({fields('text')}) AS h, CASE WHEN {crc} % 3 = 0 THEN sha256({fields(lower)}) END AS claimed FROM documents, crc)"]
+    ctes += ["a0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d)", _op11_tree("a", "lang", levels)]
+    ctes += [f"b0 AS (SELECT 0 AS one, lang, h, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM a{levels})", _op11_tree("b", "one", top_levels)]
+    rungs = [f"a{k}s" for k in range(levels)] + [f"b{k}s" for k in range(top_levels)]
+    joins = "".join(f" JOIN a{k}s ON a{k}s.lang IS NOT DISTINCT FROM a0.lang AND a{k}s.pos = a0.pos // {8**k}" for k in range(levels))
+    joins += " JOIN b0s ON b0s.lang IS NOT DISTINCT FROM a0.lang" + "".join(f" JOIN b{k}s ON b{k}s.pos = b0s.pos // {8**k}" for k in range(1, top_levels))
+    hand, folds = "coalesce(a0.claimed, a0.h)", []
+    for i, x in enumerate(rungs):
+        folds.append(f"f{i} AS (SELECT * EXCLUDE hand, CASE WHEN n{i} = 1 THEN hand ELSE sha256(l{i} || hand || r{i}) END AS hand FROM {f'f{i - 1}' if i else 'met'})")
+    sides = ", ".join(f"{x}.l AS l{i}, {x}.r AS r{i}, {x}.n AS n{i}" for i, x in enumerate(rungs))
+    ctes += [f"met AS (SELECT a0.doc_id, a0.h AS leaf, b0s.h AS subroot, (SELECT h FROM b{top_levels}) AS root, sha256({' || '.join(f'{x}.l || {x}.r' for x in rungs)}) AS proof_sha256, {sides}, {hand} AS hand FROM a0{joins})", *folds]
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, root, proof_sha256, hand AS folded_root, hand = root AS verified FROM f{len(rungs) - 1}"
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op7_mixing": OP7_SQL}
+    out = {"op7_mixing": OP7_SQL, "op11_manifest": _op11_sql()}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
