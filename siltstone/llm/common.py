@@ -138,13 +138,13 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word `[^\\x20\\x09-\\x0D]+`, and for each row its first word's number (with the total last)."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes not in `between` (by default the words), and for each row its first one's number (with the total last)."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~SEPARATOR[data]
+    inside = ~between[data]
     row_start = np.zeros(n + 1, bool)
     row_start[offsets] = True
     before = np.empty(n + 1, bool)

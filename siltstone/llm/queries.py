@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import chat, hnsw, hyperminhash, langid, manifest, matroska, mixing, packing, repeats, secrets, toxicity
+from siltstone.llm import chat, divergence, hnsw, hyperminhash, langid, manifest, matroska, mixing, packing, repeats, secrets, toxicity
 from siltstone.llm.common import default_tokenizer, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,8 +65,12 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.prove(table(spark, sf_dir, "documents"), claimed=manifest.tampered())
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_hyperminhash": op5_hyperminhash, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_repeats": op10_repeats, "op11_manifest": op11_manifest, "pipeline": corpus_pipeline.run}
+    return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_hyperminhash": op5_hyperminhash, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_repeats": op10_repeats, "op11_manifest": op11_manifest, "op12_divergence": op12_divergence, "pipeline": corpus_pipeline.run}
 
 
 #: Mixing is plain arithmetic over an order, down to the hashed offsets.
@@ -123,8 +127,24 @@ def _op11_sql(levels: int = 9, top_levels: int = 4) -> str:
     return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, root, proof_sha256, hand AS folded_root, hand = root AS verified FROM f{len(rungs) - 1}"
 
 
+#: Every pair of sources over every kept term, in 128-bit whole numbers.
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS lang_n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.lang_n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+y AS (SELECT *, sum(n) OVER w + count(*) OVER w AS size, sum(lang_n) OVER w + count(*) OVER w AS lang_size FROM x WINDOW w AS (PARTITION BY lang, source)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // size::HUGEINT AS p, 1 + (1000000000::HUGEINT * (lang_n + 1)) // lang_size::HUGEINT AS q FROM y),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER o AS INTEGER) AS rank FROM u WINDOW o AS (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) QUALIFY part = 'pair' OR row_number() OVER o <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op7_mixing": OP7_SQL, "op11_manifest": _op11_sql()}
+    out = {"op7_mixing": OP7_SQL, "op11_manifest": _op11_sql(), "op12_divergence": OP12_SQL}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
