@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import chat, divergence, hnsw, hyperminhash, langid, manifest, matroska, mixing, packing, repeats, secrets, toxicity
+from siltstone.llm import chat, divergence, hnsw, hyperminhash, langid, manifest, matroska, mixing, packing, quality, repeats, secrets, toxicity
 from siltstone.llm.common import default_tokenizer, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +69,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_hyperminhash": op5_hyperminhash, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_repeats": op10_repeats, "op11_manifest": op11_manifest, "op12_divergence": op12_divergence, "pipeline": corpus_pipeline.run}
+    return {"op1_matroska": op1_matroska, "op2_hnsw": op2_hnsw, "op3_packing": op3_packing, "op4_chat": op4_chat, "op5_hyperminhash": op5_hyperminhash, "op6_langid": op6_langid, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_repeats": op10_repeats, "op11_manifest": op11_manifest, "op12_divergence": op12_divergence, "op13_quality": op13_quality, "pipeline": corpus_pipeline.run}
 
 
 #: Mixing is plain arithmetic over an order, down to the hashed offsets.
