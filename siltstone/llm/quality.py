@@ -4,7 +4,7 @@ A document fails the base rules with fewer than 20 words, or with over 30 % of i
 those that pass, five statistics are transformed to be roughly symmetric, and each language and source gets a
 minimum-covariance-determinant estimate of their centre and scatter: starting from medians and quartiles, a concentration
 step measures every document's Mahalanobis distance and takes the mean and covariance of the nearest three quarters, until
-no group's subset changes. A document is rejected if its distance from its group's estimate is beyond `CUTOFF`.
+no group's subset changes, or `STEPS` of them. A document is rejected if its distance from its group's estimate is beyond `CUTOFF`.
 
 All of it is built from Spark's own functions: counts are row-local array expressions, without a shuffle of words; a step is
 one aggregate by group and distance bin, summed up in each task before it moves, so a hot group costs no single task. The
@@ -43,7 +43,8 @@ SHARE = 0.75
 CONSISTENCY = 1.412
 PRIOR = 50
 BINS = 50
-STEPS = 20
+#: Most concentration steps; later ones move few documents at the subset's edge.
+STEPS = 10
 #: Squared distance that one document in 10 ** 5 of a normal population exceeds, for five statistics.
 CUTOFF = 30.86
 
@@ -93,15 +94,14 @@ def statistics() -> dict[str, Column]:
 
 
 def whitened(rows: DataFrame) -> DataFrame:
-    """From centre u0… and covariance c00, c10, c11 …: w00, w10, w11 …, the inverse of its lower Cholesky factor."""
-    p = len(NAMES)
-    for j in range(p):
-        rest = lambda i: F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))  # noqa: B023, E731
-        rows = rows.withColumn(f"l{j}{j}", F.sqrt(rest(j)))
-        rows = rows.withColumns({f"l{i}{j}": rest(i) / F.col(f"l{j}{j}") for i in range(j + 1, p)})
-    for i in range(p):
-        rows = rows.withColumns({f"w{i}{j}": (F.lit(1.0) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))) / F.col(f"l{i}{i}") for j in range(i + 1)})
-    return rows
+    """From the covariance c00, c10, c11 …: w00, w10, w11 …, the inverse of its lower Cholesky factor l00, l10, l11 …"""
+    p, made = range(len(NAMES)), []
+    for j in p:
+        rest = {i: " - ".join([f"c{i}{j}", *(f"l{i}{k} * l{j}{k}" for k in range(j))]) for i in p if i >= j}
+        made += [f"sqrt({rest[j]}) AS l{j}{j}", *(f"({rest[i]}) / l{j}{j} AS l{i}{j}" for i in p if i > j)]
+    for i, j in PAIRS:
+        made.append(f"1 / l{i}{i} AS w{i}{i}" if i == j else f"-({' + '.join(f'l{i}{k} * w{k}{j}' for k in range(j, i))}) / l{i}{i} AS w{i}{j}")
+    return rows.selectExpr("*", *made)
 
 
 def fields() -> list[str]:
@@ -109,34 +109,32 @@ def fields() -> list[str]:
 
 
 def squared_distance() -> Column:
-    gap = [F.col(c) - F.col(f"u{i}") for i, c in enumerate(NAMES)]
-    parts = [sum((F.col(f"w{i}{j}") * gap[j] for j in range(i + 1)), F.lit(0.0)) for i in range(len(NAMES))]
-    return sum((x * x for x in parts), F.lit(0.0))
+    sides = [" + ".join(f"w{i}{j} * ({NAMES[j]} - u{j})" for j in range(i + 1)) for i in range(len(NAMES))]
+    return F.expr(" + ".join(f"({x}) * ({x})" for x in sides))
 
 
-def floored(i: int, j: int) -> Column:
-    return F.lit((UNIT * FLOOR[NAMES[i]]) ** 2 if i == j else 0.0)
+def floored(i: int, j: int) -> str:
+    return f"{(UNIT * FLOOR[NAMES[i]]) ** 2 if i == j else 0.0}D"
 
 
 def started(points: DataFrame) -> DataFrame:
     """Medians and quartile ranges of each group as a first centre and scatter."""
     quarters = points.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in NAMES])
-    middle = {f"u{i}": F.get(c, 1) for i, c in enumerate(NAMES)}
-    spread = {f"c{i}{j}": floored(i, j) + (F.pow((F.get(NAMES[i], 2) - F.get(NAMES[i], 0)) / 1.349, 2) if i == j else F.lit(0.0)) for i, j in PAIRS}
-    return whitened(quarters.select("grp", "n", *[v.alias(k) for k, v in (middle | spread).items()]))
+    middle = [f"{c}[1] AS u{i}" for i, c in enumerate(NAMES)]
+    spread = [f"{floored(i, j)} + " + (f"pow(({NAMES[i]}[2] - {NAMES[i]}[0]) / 1.349D, 2)" if i == j else "0D") + f" AS c{i}{j}" for i, j in PAIRS]
+    return whitened(quarters.selectExpr("grp", "n", *middle, *spread))
 
 
 def concentrated(points: DataFrame, estimate: DataFrame) -> DataFrame:
     """One step: (grp, n, m, s…, u…, c…) from the nearest `SHARE` of each group by the estimate's distances."""
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(NAMES)] + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s{i}{j}") for i, j in PAIRS]
+    sums = {f"s{i}": c for i, c in enumerate(NAMES)} | {f"s{i}{j}": f"{NAMES[i]} * {NAMES[j]}" for i, j in PAIRS}
     bin_ = F.floor(BINS * F.log1p(squared_distance())).cast("int")
-    cells = points.join(estimate.select("grp", "n", *fields()), "grp").groupBy("grp", "n", bin_.alias("bin")).agg(F.count("*").alias("m"), *sums)
+    cells = points.join(estimate.select("grp", "n", *fields()), "grp").groupBy("grp", "n", bin_.alias("bin")).agg(F.count("*").alias("m"), *[F.expr(f"sum({c}) AS {s}") for s, c in sums.items()])
     before = F.sum("m").over(Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m")
     near = cells.withColumn("before", before).where(F.col("before") < F.ceil(F.col("n") * SHARE))
-    names = ["m", *[f"s{i}" for i in range(len(NAMES))], *[f"s{i}{j}" for i, j in PAIRS]]
-    out = near.groupBy("grp", "n").agg(*[F.sum(c).alias(c) for c in names])
-    out = out.withColumns({f"u{i}": F.col(f"s{i}") / F.col("m") for i in range(len(NAMES))})
-    return out.withColumns({f"c{i}{j}": F.col(f"s{i}{j}") / F.col("m") - F.col(f"u{i}") * F.col(f"u{j}") + floored(i, j) for i, j in PAIRS})
+    out = near.groupBy("grp", "n").agg(*[F.expr(f"sum({c}) AS {c}") for c in ("m", *sums)])
+    centre = [f"s{i} / m AS u{i}" for i in range(len(NAMES))]
+    return out.selectExpr("*", *centre, *[f"s{i}{j} / m - u{i} * u{j} + {floored(i, j)} AS c{i}{j}" for i, j in PAIRS])
 
 
 def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -144,7 +142,7 @@ def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
     held, told = stored(started(points)), None
     for _ in range(steps):
         found = stored(concentrated(points, held))
-        same = ["grp", "m", *[f"s{i}" for i in range(len(NAMES))], *[f"s{i}{j}" for i, j in PAIRS]]
+        same = ["grp", "m", *[f"s{i}" for i in range(len(NAMES))]]
         if told is not None and found.select(*same).join(told.select(*same), same, "left_anti").isEmpty():
             return found
         told = found
@@ -155,23 +153,20 @@ def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
 def mixed(own: DataFrame, above: DataFrame, up: Column) -> DataFrame:
     """The estimates of one level mixed with those of the level above, which weigh as `PRIOR` documents."""
     p = range(len(NAMES))
-    above = above.select(F.col("grp").alias("up"), *[F.col(f"u{i}").alias(f"v{i}") for i in p], *[F.col(f"c{i}{j}").alias(f"d{i}{j}") for i, j in PAIRS])
-    met = own.withColumn("of", up).join(above, F.col("of") == F.col("up"))
-    share = F.col("m") / (F.col("m") + PRIOR)
-    gap = [F.col(f"u{i}") - F.col(f"v{i}") for i in p]
-    middle = [(F.col(f"v{i}") + share * gap[i]).alias(f"u{i}") for i in p]
-    spread = [(share * F.col(f"c{i}{j}") + (1 - share) * F.col(f"d{i}{j}") + share * (1 - share) * gap[i] * gap[j]).alias(f"c{i}{j}") for i, j in PAIRS]
-    return met.select("grp", "m", *middle, *spread)
+    above = above.selectExpr("grp AS up", *[f"u{i} AS v{i}" for i in p], *[f"c{i}{j} AS d{i}{j}" for i, j in PAIRS])
+    met = own.withColumn("of", up).join(above, F.col("of") == F.col("up")).withColumn("own", F.col("m") / (F.col("m") + PRIOR))
+    spread = [f"own * c{i}{j} + (1 - own) * d{i}{j} + own * (1 - own) * (u{i} - v{i}) * (u{j} - v{j}) AS c{i}{j}" for i, j in PAIRS]
+    return met.selectExpr("grp", "m", *[f"v{i} + own * (u{i} - v{i}) AS u{i}" for i in p], *spread)
 
 
 def robust(points: DataFrame) -> DataFrame:
     """(grp, u…, w…) of each language and source. A group's name is its level and its values, framed."""
     found = estimates(points)
-    scaled = stored(found.select("grp", "m", *[f"u{i}" for i in range(len(NAMES))], *[(CONSISTENCY * F.col(f"c{i}{j}")).alias(f"c{i}{j}") for i, j in PAIRS]))
+    scaled = found.selectExpr("grp", "m", *[f"u{i}" for i in range(len(NAMES))], *[f"{CONSISTENCY}D * c{i}{j} AS c{i}{j}" for i, j in PAIRS])
     level = lambda k: scaled.where(F.col("grp").startswith(f"{k}"))
     langs = mixed(level(1), level(0), F.lit("0"))
     groups = mixed(level(2), langs, F.concat(F.lit("1"), F.substring_index(F.substr("grp", F.lit(2)), "\0", 1)))
-    return stored(whitened(stored(groups)).select("grp", *fields()))
+    return stored(whitened(groups).select("grp", *fields()))
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -29,7 +29,7 @@ def plain_estimates(groups):
     for g, x in groups.items():
         q = np.percentile(x, [25, 50, 75], axis=0)
         mean, cov, told = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + floor, None
-        while True:
+        for _ in range(quality.STEPS):
             gap = x - mean
             bins = np.floor(quality.BINS * np.log1p(np.einsum("ni,ij,nj->n", gap, np.linalg.inv(cov), gap)))
             last = np.sort(bins)[int(np.ceil(len(x) * quality.SHARE)) - 1]
