@@ -250,13 +250,13 @@ def label_words(docs: DataFrame, model: Field, key: str = "doc_id", text: str =
 
 
 def keep_identified(docs: DataFrame, text: str = "text", least: float = LEAST, model: Field | None = None) -> DataFrame:
-    """The rows whose text has one clear language: neither `und` nor a score under `least`. Columns are unchanged."""
+    """The rows whose text has one clear language: neither `und` nor a score under `least`. Columns, of any names, are unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model or trained(docs))
-    place = docs.columns.index(text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("read_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, LABELLED_BYTES):
-            names, found = shared.value.predict(batch.column(place))
-            yield batch.filter(pa.array((np.array(names) != "und") & (found >= least)))
+        for batch in pieces(batches, "read_text", LABELLED_BYTES):
+            names, found = shared.value.predict(batch.column(1))
+            yield batch.filter(pa.array((np.array(names) != "und") & (found >= least))).select(["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")

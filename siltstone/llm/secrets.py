@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, pieces, private
+from siltstone.llm.common import checkpointed, pieces
 
 #: Kinds in the order that breaks ties between spans with one start; the first three are the base rules.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "forge")
@@ -137,22 +137,21 @@ def redact(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: Da
 
     Null text stays null. Columns may have any names. Repeated rows: each is cut. Empty table: empty result.
     """
-    blob, spans = private(docs, "hit_blob", "hit_spans")
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    possible = body.rlike(_POSSIBLE)
+    body = lambda c: F.coalesce(c, F.lit(""))
+    possible = body(F.col(f"`{text}`")).rlike(_POSSIBLE)
     risky = docs.where(possible)
     _, fresh = ledger_scan(risky, path, text, ledger)
     known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*fresh.columns))
-    hits = known.where("spans <> ''").select(F.col("blob").alias(blob), F.col("spans").alias(spans))
-    joined = risky.join(hits, F.unhex(F.sha2(body, 256)) == F.col(blob), "left").drop(blob)
-    place, last = docs.columns.index(text), len(docs.columns)
+    hits = known.where("spans <> ''").select("blob", "spans")
+    rows = risky.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("whole"))
+    joined = rows.join(hits, F.unhex(F.sha2(body(F.col("whole")), 256)) == F.col("blob"), "left").select("row", "whole", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
-            texts = [cut_out(t, s) if s else t for t, s in zip(batch.column(place).to_pylist(), batch.column(last).to_pylist())]
-            yield batch.set_column(place, text, pa.array(texts, batch.schema.field(place).type))
-
-    done = joined.mapInArrow(run, joined.schema).drop(spans)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col(f"`{text}`").isNotNull(), F.length(f"`{text}`")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
-    return docs.where(~possible).unionByName(done)
+        for batch in pieces(batches, "whole"):
+            texts = [cut_out(t, s) if s else t for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "whole"])
+
+    done = joined.mapInArrow(run, joined.select("row", "whole").schema)
+    size = F.when(F.col("whole").isNotNull(), F.length("whole"))
+    new = {text: F.col("whole")} | ({"n_chars": size.cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return docs.where(~possible).unionByName(done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]))

@@ -102,3 +102,17 @@ def test_rows_without_an_id_keep_their_own_draws(spark):
         taken = sum(n * size(row) for row, n in mixed.items() if row[2] == r.source)
         assert taken == r.taken and abs(taken - r.target) <= 2 * r.largest
     assert mixed == Counter(tuple(r) for r in mixing.mix_documents(docs.repartition(5)).collect())
+
+
+def test_columns_of_any_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = docs.withColumns({"a.b": F.col("n_chars") % 3, "with space": F.lit("x"), "row": F.lit(1), "spans": F.lit(None).cast("string"), "read_text": F.lit(2)})
+    secret = docs.limit(1).withColumns({"text": F.lit("the cat sat on the mat and token = abcdef0123456789abcdef0123456789"), "doc_id": F.lit(10**6).cast("long")})
+    docs = docs.unionByName(secret)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert name == "packing" or out.columns == docs.columns
+        assert out.count() > 0 and stage(spark, docs.limit(0), sf).count() == 0
+        if name == "secret_scan":
+            (hit,) = out.where("doc_id = 1000000").collect()
+            assert hit.text == "the cat sat on the mat and [REDACTED]" and hit.n_chars == len(hit.text) and hit["a.b"] in (0, 1, 2)
