@@ -10,7 +10,7 @@ All of it is built from Spark's own functions: counts are row-local array expres
 one aggregate by group and distance bin, summed up in each task before it moves, so a hot group costs no single task. The
 sums are of whole thousandths and so do not depend on their order; medians too are of whole numbers, whose distinct values are
 few. The subset is taken to the end of the distance bin in which the three quarters are reached. What is joined back to the
-rows is one row a group, written as a table first, so that Spark broadcasts it by its size only.
+rows is one row a group; it is broadcast where the groups were counted and are at most `GROUPS_BROADCAST`.
 
 Groups are estimated on three levels: all documents, a language, a language and source. Each level is mixed with the one
 above as if that held `PRIOR` documents of it, so small groups lean on their language. `FLOOR` is the least spread by which a
@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import counted as rows_in
 from siltstone.llm.common import released, stored
 
 WINDOW = 8
@@ -45,6 +46,8 @@ PRIOR = 50
 BINS = 50
 #: Most concentration steps; later ones move few documents at the subset's edge.
 STEPS = 10
+#: Groups whose estimates (some 400 bytes each) are broadcast; more are joined by a shuffle.
+GROUPS_BROADCAST = 10_000
 #: Squared distance that one document in 10 ** 5 of a normal population exceeds, for five statistics.
 CUTOFF = 30.86
 
@@ -125,11 +128,15 @@ def started(points: DataFrame) -> DataFrame:
     return whitened(quarters.selectExpr("grp", "n", *middle, *spread))
 
 
-def concentrated(points: DataFrame, estimate: DataFrame) -> DataFrame:
+def at_hand(estimate: DataFrame, groups: int) -> DataFrame:
+    return F.broadcast(estimate) if groups <= GROUPS_BROADCAST else estimate
+
+
+def concentrated(points: DataFrame, estimate: DataFrame, groups: int) -> DataFrame:
     """One step: (grp, n, m, s…, u…, c…) from the nearest `SHARE` of each group by the estimate's distances."""
     sums = {f"s{i}": c for i, c in enumerate(NAMES)} | {f"s{i}{j}": f"{NAMES[i]} * {NAMES[j]}" for i, j in PAIRS}
     bin_ = F.floor(BINS * F.log1p(squared_distance())).cast("int")
-    cells = points.join(estimate.select("grp", "n", *fields()), "grp").groupBy("grp", "n", bin_.alias("bin")).agg(F.count("*").alias("m"), *[F.expr(f"sum({c}) AS {s}") for s, c in sums.items()])
+    cells = points.join(at_hand(estimate.select("grp", "n", *fields()), groups), "grp").groupBy("grp", "n", bin_.alias("bin")).agg(F.count("*").alias("m"), *[F.expr(f"sum({c}) AS {s}") for s, c in sums.items()])
     before = F.sum("m").over(Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m")
     near = cells.withColumn("before", before).where(F.col("before") < F.ceil(F.col("n") * SHARE))
     out = near.groupBy("grp", "n").agg(*[F.expr(f"sum({c}) AS {c}") for c in ("m", *sums)])
@@ -140,8 +147,9 @@ def concentrated(points: DataFrame, estimate: DataFrame) -> DataFrame:
 def estimates(points: DataFrame, steps: int = STEPS) -> DataFrame:
     """Concentration steps until no group's subset changes: its size and sums stay as they were."""
     held, told = stored(started(points)), None
+    groups = rows_in(held)
     for _ in range(steps):
-        found = stored(concentrated(points, held))
+        found = stored(concentrated(points, held, groups))
         same = ["grp", "m", *[f"s{i}" for i in range(len(NAMES))]]
         if told is not None and found.select(*same).join(told.select(*same), same, "left_anti").isEmpty():
             return found
@@ -184,6 +192,6 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     released(points)
     base = ["key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     scored = rows.select(*base, F.when(~F.col("base_failed"), grp).alias("of"), *[F.when(~F.col("base_failed"), c).alias(name) for name, c in statistics().items()])
-    met = scored.join(model, F.col("of") == F.col("grp"), "left").withColumn("distance", squared_distance())
+    met = scored.join(at_hand(model, rows_in(model)), F.col("of") == F.col("grp"), "left").withColumn("distance", squared_distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return met.select(F.col("key").alias(key), *base[1:], kept.alias("kept"), "distance")
