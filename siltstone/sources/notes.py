@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import re
 import tarfile
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import figure_refs, html_title, plain_html, plain_markdown, strip
+from siltstone.sources.pdf import pdf_strings, pdf_text  # noqa: F401
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -105,52 +105,6 @@ def extracted(files_: DataFrame) -> DataFrame:
     return plain.unionByName(pdf)
 
 
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|T\*|T[dD]|'|\"|ET")
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _decoded(raw: bytes) -> str:
-    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
-
-
-def _literal(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        return _decoded(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()))
-    plain = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() and m[1][:1] < b"8" else b"" if m[1].endswith(b"\n") else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.DOTALL)
-    return _decoded(plain)
-
-
-def pdf_strings(data: bytes) -> str:
-    """Text that a PDF's content streams show, plain or deflated, a line per text move. No fonts are read."""
-    lines: list[str] = []
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\n?endstream", data, re.DOTALL):
-        body = m[1]
-        try:
-            body = zlib.decompress(body)
-        except zlib.error:
-            pass
-        for block in re.findall(rb"BT(.*?)ET", body, re.DOTALL):
-            now = ""
-            for token in _SHOWN.findall(block + b" ET"):
-                if token[:1] in b"(<" and token[:1]:
-                    now += _literal(token)
-                elif now.strip():
-                    lines.append(now.strip())
-                    now = ""
-            if now.strip():
-                lines.append(now.strip())
-    return "\n".join(lines)
-
-
-def pdf_text(files_: DataFrame) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"path": frame["path"], "text": [pdf_strings(bytes(c)) for c in frame["content"]]})
-
-    return files_.select("path", "content").mapInPandas(run, "path string, text string")
-
-
 def is_unreadable(text: Column) -> Column:
     """Text that came out of a page as noise: nearly empty, odd characters, letters spaced apart, or few letters."""
     n = F.length(strip(text))
