@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that carry no topic.
 STOPWORDS = (
@@ -44,6 +48,32 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, r"[_\s]+", "-"), "-+", "-"), "^-|-$", "")
 
 
+@F.pandas_udf(StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t and "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+def fold_accents(text: Column) -> Column:
+    """Compatibility forms taken apart and accents dropped."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _decomposed(text)).otherwise(text)
+
+
+# UTF-8 that was read as a Western code page, and what it stood for, in order.
+MOJIBAKE = (("Â©", "©"), ("Â®", "®"), ("Â·", "·"), ("â€¢", "•"), ("â€“", "–"), ("â€”", "—"), ("â€˜", "‘"), ("â€™", "’"), ("â€œ", "“"), ("â€", "”"), ("â€¦", "…"))
+
+
+def repaired(text: Column) -> Column:
+    for broken, meant in MOJIBAKE:
+        text = F.replace(text, F.lit(broken), F.lit(meant))
+    return text
+
+
+def tidy_lines(text: Column) -> Column:
+    """Extracted text put right: broken characters read again, each line squeezed, empty lines dropped."""
+    plain = F.regexp_replace(F.regexp_replace(repaired(F.coalesce(text, F.lit(""))), r"\x00", " "), r"\r", "")
+    return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[^\S\n]+", " "), r"(?m)^ | $", ""), r"\n{2,}", "\n"))
+
+
 def truncated(text: Column, size: int) -> Column:
     """At most `size` characters, the last of them an ellipsis where something was cut."""
     whole = strip(F.coalesce(text, F.lit("")))
