@@ -62,9 +62,11 @@ def is_candidate(label: Column, terms: list[str]) -> Column:
 def entity_names(context: Column, topic: Column, limit: int = 12) -> Column:
     """Runs of capitalised words or of capitals, one for each spelling's slug, without the topic itself."""
     runs = F.regexp_extract_all(F.coalesce(context, F.lit("")), F.lit(r"\b((?:[A-Z][a-z]+|[A-Z]{2,})(?:\s+(?:[A-Z][a-z]+|[A-Z]{2,}))*)\b"), F.lit(1))
-    named = F.filter(F.array_distinct(runs), lambda r: (F.length(r) > 2) & (slug(r) != slug(topic)))
-    first = F.aggregate(named, F.array().cast("array<string>"), lambda held, r: F.when(F.exists(held, lambda h: slug(h) == slug(r)), held).otherwise(F.concat(held, F.array(r))))
-    return F.slice(first, 1, limit)
+    named = F.transform(F.filter(F.array_distinct(runs), lambda r: F.length(r) > 2), lambda r: F.struct(slug(r).alias("slug"), r.alias("name")))
+    other = F.filter(named, lambda n: n["slug"] != slug(F.coalesce(topic, F.lit(""))))
+    # no longer than the limit, so that a long text costs its runs and not their square
+    first = F.aggregate(other, F.array().cast("array<struct<slug:string,name:string>>"), lambda held, n: F.when((F.size(held) >= limit) | F.exists(held, lambda h: h["slug"] == n["slug"]), held).otherwise(F.concat(held, F.array(n))))
+    return F.transform(first, lambda n: n["name"])
 
 
 def sampled(text: Column, size: int = 60_000) -> Column:

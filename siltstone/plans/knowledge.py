@@ -343,15 +343,19 @@ def curated_export(spark, sf_dir):
 _EXPORT = f"WITH {_NOTES} SELECT path, title FROM n WHERE (starts_with(path, 'wiki/') OR starts_with(path, 'outputs/')) AND NOT starts_with(path, 'wiki/states/') AND NOT starts_with(path, 'outputs/memos/0000001')"
 
 
+_ascii = lambda e: f"regexp_replace({e}, '[^\\x00-\\x7F]', 'x', 'g')"
+
+
 def entity_names(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    town = F.when(F.col("c_nationkey") % 2 == 0, "New York").otherwise("Rome")
-    text = F.concat(F.initcap("c_mktsegment"), F.lit(" of the Data Desk and DATA DESK to USA in "), town, F.lit(", EU; data desk"))
-    return c.select("c_custkey", F.array_join(concepts.entity_names(text, F.col("c_mktsegment")), "|").alias("names"))
+    """Capitalised names in every whole text, its first one as the topic; other scripts' letters stand as x."""
+    d = documents(spark, sf_dir).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text"))
+    topic = F.regexp_extract("text", r"^(\w+)", 1)
+    return d.select("doc_id", F.array_join(concepts.entity_names(F.col("text"), topic), "|").alias("names"))
 
 
-#: Segments are the topic and drop out, short names do, and one slug in two spellings is named once.
-_ENTITIES = "SELECT c_custkey, 'Data Desk|USA|' || CASE WHEN c_nationkey % 2 = 0 THEN 'New York' ELSE 'Rome' END AS names FROM customer"
+_ENTITIES = f"""WITH t AS (SELECT doc_id, {_ascii('text')} AS text FROM documents), r AS (SELECT doc_id, lower(regexp_extract(text, '^(\\w+)', 1)) AS topic, unnest(x) AS name, generate_subscripts(x, 1) AS i FROM (SELECT *, regexp_extract_all(text, '\\b(?:[A-Z][a-z]+|[A-Z]{{2,}})(?:\\s+(?:[A-Z][a-z]+|[A-Z]{{2,}}))*\\b') AS x FROM t)),
+g AS (SELECT doc_id, slug, arg_min(name, i) AS name, min(i) AS i FROM (SELECT *, lower(regexp_replace(name, '\\s+', '-', 'g')) AS slug FROM r) WHERE length(name) > 2 AND slug <> regexp_replace(topic, '_+', '-', 'g') GROUP BY ALL), k AS (SELECT doc_id, list(name ORDER BY i)[1:12] AS names FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(array_to_string(names, '|'), '') AS names FROM documents LEFT JOIN k USING (doc_id)"""
 
 _ALIASES = [("wiki/watch-profiles/a.md", "Brand#1", ["brand-2", "Acme"]), ("wiki/watch-profiles/b.md", "brand 3", ["Brand2!"]), ("wiki/watch-profiles/c.md", "Brand3", [])]
 
@@ -449,11 +453,17 @@ _REPORT_CLAIMS = f"WITH {_CLAIMS} SELECT id, score AS claim_score FROM cm WHERE
 
 
 def compact_lines(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return d.select("doc_id", F.array_join(watch.compact_lines(F.concat(F.lit("- a  b\n2. a b\n* "), F.col("source"), F.lit("\n"), F.col("lang"), F.lit("\n\n - z")), 4), "|").alias("lines"))
+    """The first lines of every document in short."""
+    return documents(spark, sf_dir).select("doc_id", F.array_join(watch.compact_lines(F.col("text"), 4), "|").alias("lines"))
 
 
-_COMPACT = "SELECT doc_id, 'a b|' || source || '|' || lang || '|z' AS lines FROM documents"
+#: What plain Markdown leaves out of a line, by pattern and replacement.
+_MARKS = (("^\\s*[-*]\\s+", ""), ("^\\s*\\d+\\.\\s+", ""), ("(?s)```.*?```", " "), ("!\\[[^\\]]*\\]\\([^)]*\\)", " "), ("\\[([^\\]]+)\\]\\([^)]*\\)", "\\1"), ("\\[\\[([^\\]|]+)\\|([^\\]]+)\\]\\]", "\\2"), ("\\[\\[([^\\]]+)\\]\\]", "\\1"), ("`([^`]*)`", "\\1"), ("(?m)^#{1,6}\\s+", ""), ("(?m)^>\\s?", ""), ("[*_~]{1,3}", ""), ("\\s+", " "), ("^\\s+|\\s+$", ""))
+_line = "x"
+for _p, _r in _MARKS:
+    _line = f"regexp_replace({_line}, '{_p}', '{_r}', 'g')"
+_COMPACT = f"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: {_line}), lambda x: x <> '') AS x FROM documents)),
+f AS (SELECT doc_id, line, min(i) AS i FROM l GROUP BY ALL), k AS (SELECT doc_id, list(line ORDER BY i)[1:4] AS x FROM f GROUP BY doc_id) SELECT doc_id, coalesce(array_to_string(k.x, '|'), '') AS lines FROM documents LEFT JOIN k USING (doc_id)"""
 
 _COMMANDS = {"click": "ingest", "view": "report", "purchase": "watch", "signup": "search", "error": "claims-refresh"}
 
@@ -647,40 +657,47 @@ _SAYS = ["", " BIAS ", "unknown"]
 
 
 def self_schemas(spark, sf_dir):
-    """Documents as notes on oneself, whose words are mapped to the schemas' by replacement."""
-    d = documents(spark, sf_dir).select("doc_id", "source", F.replace("source", F.lit("src1"), F.lit("tone ")).alias("text"))
+    """Documents as notes on oneself: their own words, their folders and what they say by their number."""
+    d = documents(spark, sf_dir).select("doc_id", "text")
     pick = lambda values, k: F.get(F.array(*map(F.lit, values)), (F.col("doc_id") % k).cast("int"))
     path = F.concat(pick(_SELF, 4), F.col("doc_id").cast("string"), F.lit(".md"))
     return d.select(selfnotes.inferred_schema(path, F.col("text"), pick(_SAYS, 3)).alias("schema")).groupBy("schema").agg(F.count("*").alias("n"))
 
 
-_SCHEMAS = "SELECT CASE WHEN doc_id % 3 = 1 THEN 'bias' WHEN doc_id % 4 = 0 THEN 'heuristic' WHEN doc_id % 4 = 2 THEN 'mode' WHEN contains(source, 'src1') THEN 'communication-style' ELSE 'constitution' END AS schema, count(*) AS n FROM documents GROUP BY 1"
+_words = " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{schema}'" for schema, words in selfnotes.SCHEMA_WORDS.items())
+_SCHEMAS = f"SELECT CASE WHEN doc_id % 3 = 1 THEN 'bias' WHEN doc_id % 4 = 0 THEN 'heuristic' WHEN doc_id % 4 = 2 THEN 'mode' {_words} ELSE 'constitution' END AS schema, count(*) AS n FROM documents GROUP BY 1"
 
 
 def command_scopes(spark, sf_dir):
-    """Orders as commands: their status is the command, their priority the topic; modes and budgets by their number."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    command = F.when(F.col("o_orderstatus") == "F", "report").when(F.col("o_orderstatus") == "O", "deck").otherwise("other")
-    topic = F.when(F.col("o_custkey") % 3 == 0, "Oil and a breakout").when(F.col("o_custkey") % 3 == 1, "code TESTS")
-    k = (F.col("o_orderkey") % 4).cast("int")
-    mode, asked = F.get(F.array(*map(F.lit, ["Index", " brief", "deep", "x"])), k), F.when(F.col("o_orderkey") % 5 == 0, " l1 ")
-    rows = o.select(F.array_join(selfnotes.applicability(command, topic), ",").alias("scope"), selfnotes.budget(mode, asked).alias("budget"))
+    """Every document's text as a topic, its source as the command; modes and budgets by its number."""
+    d = documents(spark, sf_dir)
+    command = F.when(F.col("source") == "src1", "report").when(F.col("source") == "src2", "deck").otherwise("other")
+    k = (F.col("doc_id") % 4).cast("int")
+    mode, asked = F.get(F.array(*map(F.lit, ["Index", " brief", "deep", "x"])), k), F.when(F.col("doc_id") % 5 == 0, " l1 ")
+    rows = d.select(F.array_join(selfnotes.applicability(command, F.col("text")), ",").alias("scope"), selfnotes.budget(mode, asked).alias("budget"))
     return rows.groupBy("scope", "budget").agg(F.count("*").alias("n"))
 
 
-_SCOPES = """SELECT CASE o_orderstatus WHEN 'F' THEN 'investment,macro,valuation,writing' WHEN 'O' THEN 'investment,macro,writing' ELSE 'global,writing' END || CASE o_custkey % 3 WHEN 0 THEN ',trading' || CASE WHEN o_orderstatus IN ('F', 'O') THEN '' ELSE ',macro' END WHEN 1 THEN ',coding' ELSE '' END || CASE WHEN o_orderstatus IN ('F', 'O') THEN ',global' ELSE '' END AS scope,
-CASE WHEN o_orderkey % 5 = 0 THEN 'L1' ELSE ['L0', 'L1', 'L3', 'L2'][o_orderkey % 4 + 1] END AS budget, count(*) AS n FROM orders GROUP BY ALL"""
+_hints = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{name}' END" for name, p in selfnotes.HINTS.items()) + "]"
+_SCOPES = f"""WITH d AS (SELECT doc_id, CASE source WHEN 'src1' THEN ['investment', 'macro', 'valuation', 'writing'] WHEN 'src2' THEN ['investment', 'macro', 'writing'] ELSE ['global', 'writing'] END AS base, list_filter({_hints}, lambda h: h IS NOT NULL) AS hints FROM documents)
+SELECT array_to_string(list_concat(list_concat(base, list_filter(hints, lambda h: NOT list_contains(base, h))), CASE WHEN list_contains(base, 'global') THEN [] ELSE ['global'] END), ',') AS scope, CASE WHEN doc_id % 5 = 0 THEN 'L1' ELSE ['L0', 'L1', 'L3', 'L2'][doc_id % 4 + 1] END AS budget, count(*) AS n FROM d GROUP BY ALL"""
 
 
 def source_routing(spark, sf_dir):
-    """Notes whose class or draft is filled in; the text is the source, as the class words do not occur in invented prose."""
-    n = notes(spark, sf_dir).where("document_class = '' or doc_id % 2 = 0")
-    rows = n.select("title", "source_type", F.when(F.col("doc_id") % 3 == 0, "minutes of it").otherwise("zzz").alias("text"), "document_class", F.when(F.col("doc_id") % 5 == 0, "d.md").alias("draft_path"), F.col("doc_id").cast("string").alias("id"), "path").withColumn("title", F.lit("A zz"))
+    """Every note with its class and draft filled in where it lacks them, by its own title and text."""
+    n = notes(spark, sf_dir)
+    rows = n.select("title", "source_type", "text", "document_class", F.when(F.col("doc_id") % 5 == 0, "d.md").alias("draft_path"), F.col("doc_id").cast("string").alias("id"), "path")
     return selfnotes.routed(rows).select("path", "document_class", "draft_path")
 
 
-_ROUTING = f"""WITH {_NOTES} SELECT path, CASE WHEN document_class <> '' THEN document_class WHEN source_type = 'dataset' THEN 'dataset_snapshot' WHEN source_type = 'image' THEN 'visual_capture' WHEN doc_id % 3 = 0 THEN 'meeting_notes' WHEN source_type = 'paper' THEN 'research_note' WHEN source_type = 'web' THEN 'article_or_web_capture' ELSE 'working_note' END AS document_class,
-CASE WHEN doc_id % 5 = 0 THEN 'd.md' ELSE 'wiki/drafts/append-review/a-zz.md' END AS draft_path FROM n WHERE document_class = '' OR doc_id % 2 = 0"""
+_low = "regexp_replace(regexp_replace(lower(title || chr(10) || text), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+_named = {"transcript": "transcript", "research_note": "paper"}
+_rules = " ".join(f"WHEN regexp_matches(low, '{ingest.word_rule(words)}')" + (f" OR kind = '{_named[name]}'" if name in _named else "") + f" THEN '{name}'" for name, words in ingest.CLASSES)
+_stem = "nullif(left(regexp_replace(lower(title), ' +', '-', 'g'), 80), '')"
+_ROUTING = f"""WITH {_NOTES}, r AS (SELECT *, coalesce(nullif(trim(source_type), ''), 'note') AS kind, {_low} AS low FROM n)
+SELECT path, CASE WHEN document_class <> '' THEN document_class WHEN kind = 'dataset' THEN CASE WHEN contains(low, 'survey') OR contains(low, 'release') THEN 'data_release' ELSE 'dataset_snapshot' END
+WHEN kind = 'image' THEN CASE WHEN regexp_matches(low, '{ingest.word_rule(ingest.VISUAL_WORDS)}') THEN 'chartpack_or_visual' ELSE 'visual_capture' END {_rules} WHEN kind IN ('article', 'web') THEN 'article_or_web_capture' ELSE 'working_note' END AS document_class,
+CASE WHEN doc_id % 5 = 0 THEN 'd.md' ELSE 'wiki/drafts/append-review/' || coalesce({_stem}, CAST(doc_id AS VARCHAR)) || '.md' END AS draft_path FROM r"""
 
 
 def latest_logs(spark, sf_dir):
@@ -694,13 +711,17 @@ _LOGS = "SELECT DISTINCT 'wiki/memory/daily/' || CAST(CAST(ts AS DATE) AS VARCHA
 
 
 def section_heads(spark, sf_dir):
+    """Heads of sections that hold whole documents: one its text, one the same under its language, one nothing."""
     d = documents(spark, sf_dir)
-    body = F.concat(F.lit("## Open Loops\n"), "lang", F.lit("\n  x\n## Watchpoints\n\n## Active Priorities\n"), F.repeat(F.concat("source", F.lit(" ")), 200))
+    body = F.concat(F.lit("## Open Loops\n"), "text", F.lit("\n## Watchpoints\n\n## Active Priorities\n"), "lang", F.lit("\n  "), "text")
     heads = selfnotes.section_heads(body, ["Active Priorities", "Open Loops", "Watchpoints", "Missing"])
     return d.select("doc_id", F.array_join(F.map_keys(heads), ",").alias("headings"), F.element_at(heads, F.lit("Open Loops")).alias("loops"), F.length(F.element_at(heads, F.lit("Active Priorities"))).cast("long").alias("size"))
 
 
-_HEADS = "SELECT doc_id, 'Active Priorities,Open Loops' AS headings, lang || ' x' AS loops, CAST(least(600, 200 * length(source) + 199) AS BIGINT) AS size FROM documents"
+_first = "string_split_regex({}, '(?m)^##\\s')[1]"
+_flat = lambda e: f"left(regexp_replace(regexp_replace({e}, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), 600)"
+_HEADS = f"""WITH h AS (SELECT doc_id, {_flat(_first.format('text'))} AS loops, {_flat(_first.format("lang || chr(10) || '  ' || text"))} AS act FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN act <> '' THEN 'Active Priorities' END, CASE WHEN loops <> '' THEN 'Open Loops' END], lambda x: x IS NOT NULL), ',') AS headings, nullif(loops, '') AS loops, CAST(length(nullif(act, '')) AS BIGINT) AS size FROM h"""
 
 QUERIES = {
     "self_schemas": (self_schemas, _SCHEMAS), "command_scopes": (command_scopes, _SCOPES), "source_routing": (source_routing, _ROUTING), "latest_logs": (latest_logs, _LOGS), "section_heads": (section_heads, _HEADS),
