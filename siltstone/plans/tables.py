@@ -254,22 +254,26 @@ def props_json_extract(spark, sf_dir):
 
 _PROPS = "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, count(json_extract(props, '$.k')) AS n_k, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS max_k FROM events GROUP BY event_type"
 
-_RULES = [
-    ("wiki/self/a.md", "Ground every number", "active", 5, "hard", ["global"], ["global"], "declared", "constitution", [], [], 1),
-    ("wiki/self/b.md", "Prefer brevity", "active", 2, "soft", ["report"], ["writing"], "declared", "preference", ["Ground every number"], [], 2),
-    ("wiki/self/c.md", "Recency bias", "active", 4, "hard", ["global"], ["research"], "observed", "bias", [], [], 3),
-    ("wiki/self/d.md", "Plain tone", "active", 3, "soft", ["global"], ["writing"], "learned-from-postmortem", "communication-style", [], ["prefer-brevity"], 4),
-    ("wiki/self/e.md", "Old rule", "superseded", 5, "hard", ["global"], ["global"], "declared", "constitution", [], [], 5),
-    ("wiki/self/f.md", "Quote sources", "active", 3, "default", ["report", "decide"], ["research"], "declared", "preference", ["c"], [], 6),
-    ("wiki/self/g.md", "Quote sparingly", "active", 3, "default", ["global"], ["research"], "declared", "preference", ["quote sources"], [], 7),
-]
 _CONTEXTS = [("global", None, ["research", "writing"]), ("report", "report", ["writing", "research"]), ("decide", "decide", ["research"])]
-_RULE_SCHEMA = "path string, title string, status string, priority int, strength string, scope array<string>, applies array<string>, basis string, schema string, conflicts_with array<string>, supersedes array<string>, seq int"
+#: Fields of rules that parts stand for, each by a remainder of the part's number or size.
+_STATUS, _STRENGTHS, _BASES = ["active", "active", "draft", "superseded", "reviewed"], ["hard", "default", "soft"], ["declared", "observed", "learned-from-postmortem", "unknown"]
+_SCOPE_OF, _APPLIES_TO = [["global"], ["report"], ["report", "decide"], ["watch"]], [["global"], ["writing"], ["research", "writing"], ["trading"]]
+_SCHEMA_OF = ["constitution", "preference", "bias", "anti-pattern", "communication-style", "mode"]
 
 
 def rule_resolution(spark, sf_dir):
-    """Rules left in three contexts, with their class and place."""
-    rows = spark.createDataFrame(_RULES, _RULE_SCHEMA)
+    """Parts as rules: which are left in three contexts, with their class and place. They name each other by path, file and title."""
+    p = table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda values, by: F.get(F.array(*[F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for v in values]), (by % len(values)).cast("int"))
+    title = F.concat("p_name", F.lit(" "), k.cast("string"))
+    text = lambda number: number.cast("string")
+    conflicts = F.when(k % 5 == 0, F.array(text(F.floor(k / 2)), F.concat(F.lit(" WIKI/self/"), text(k + 3), F.lit(".md")))).when(k % 5 == 1, F.array(F.lit("none such"))).otherwise(F.array().cast("array<string>"))
+    supersedes = F.when(k % 7 == 0, F.array(F.concat(text(k + 1), F.lit(".md")), F.concat(F.lit("small ring "), text(k - k % 50)))).otherwise(F.array().cast("array<string>"))
+    rows = p.select(
+        F.concat(F.lit("wiki/self/"), text(k), F.lit(".md")).alias("path"), title.alias("title"), pick(_STATUS, k).alias("status"), (size % 5 + 1).cast("int").alias("priority"), pick(_STRENGTHS, size).alias("strength"),
+        pick(_SCOPE_OF, k).alias("scope"), pick(_APPLIES_TO, size).alias("applies"), pick(_BASES, F.floor(k / 3)).alias("basis"), pick(_SCHEMA_OF, F.floor(k / 2)).alias("schema"), conflicts.alias("conflicts_with"), supersedes.alias("supersedes"), k.alias("seq"),
+    )
     contexts = spark.createDataFrame(_CONTEXTS, "context string, command string, applicability array<string>")
     return rules.resolve(rows, contexts)[0].select("context", "path", "kind", F.col("place").cast("long").alias("place"))
 
@@ -278,10 +282,15 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
 
 
-_RULE_SQL = f"""WITH r(path, title, status, priority, strength, scope, applies, basis, schema, cw, sp, seq) AS (VALUES {', '.join('(' + ', '.join(_list(v) if isinstance(v, list) else repr(v) for v in row) + ')' for row in _RULES)}),
+def _pick(values, by: str) -> str:
+    return "[" + ", ".join(_list(v) if isinstance(v, list) else f"'{v}'" for v in values) + f"][CAST({by} AS BIGINT) % {len(values)} + 1]"
+
+
+_RULE_SQL = f"""WITH r AS (SELECT 'wiki/self/' || p_partkey || '.md' AS path, p_name || ' ' || p_partkey AS title, {_pick(_STATUS, 'p_partkey')} AS status, p_size % 5 + 1 AS priority, {_pick(_STRENGTHS, 'p_size')} AS strength, {_pick(_SCOPE_OF, 'p_partkey')} AS scope, {_pick(_APPLIES_TO, 'p_size')} AS applies, {_pick(_BASES, 'p_partkey // 3')} AS basis, {_pick(_SCHEMA_OF, 'p_partkey // 2')} AS schema,
+CASE p_partkey % 5 WHEN 0 THEN [CAST(p_partkey // 2 AS VARCHAR), ' WIKI/self/' || (p_partkey + 3) || '.md'] WHEN 1 THEN ['none such'] ELSE []::VARCHAR[] END AS cw, CASE WHEN p_partkey % 7 = 0 THEN [(p_partkey + 1) || '.md', 'small ring ' || (p_partkey - p_partkey % 50)] ELSE []::VARCHAR[] END AS sp, p_partkey AS seq FROM part),
 x(context, command, ap) AS (VALUES {', '.join(f"('{c}', {'NULL' if k is None else repr(k)}, {_list(a)})" for c, k, a in _CONTEXTS)}),
 m AS (SELECT r.*, x.*, CASE strength WHEN 'hard' THEN 3 WHEN 'soft' THEN 1 ELSE 2 END AS s, CASE WHEN list_contains(scope, command) THEN 2 WHEN list_contains(scope, 'global') THEN 1 ELSE 0 END AS cs, CASE WHEN list_has_any(list_filter(ap, lambda a: a <> 'global'), applies) THEN 2 WHEN list_contains(applies, 'global') THEN 1 ELSE 0 END AS aps, CASE basis WHEN 'learned-from-postmortem' THEN 3 WHEN 'observed' THEN 2 ELSE 1 END AS b, list_distinct([lower(title), replace(lower(title), ' ', '-'), lower(path), split_part(lower(path), '/', 3), split_part(split_part(lower(path), '/', 3), '.', 1)]) AS keys FROM r, x WHERE status NOT IN ('inactive', 'obsolete', 'retired', 'superseded') AND (command IS NULL OR command = 'global' OR list_contains(scope, 'global') OR list_contains(scope, command)) AND (list_contains(applies, 'global') OR list_has_any(ap, applies))),
-f AS (SELECT context, path, seq, unnest(list_concat(cw, sp)) AS ref FROM m), t AS (SELECT f.context, f.path AS p, (SELECT min_by(n.path, n.seq) FROM m n WHERE n.context = f.context AND list_contains(n.keys, lower(f.ref))) AS q FROM f),
+f AS (SELECT context, path, seq, unnest(x) AS ref, generate_subscripts(x, 1) AS i FROM (SELECT *, list_concat(cw, sp) AS x FROM m)), u AS (SELECT context, key, min_by(path, seq) AS q FROM (SELECT context, path, seq, unnest(keys) AS key FROM m) GROUP BY ALL), t AS (SELECT f.context, f.path AS p, u.q FROM f JOIN u ON u.context = f.context AND u.key = lower(trim(f.ref))),
 l AS (SELECT DISTINCT t.context, CASE WHEN a.priority <> b.priority THEN CASE WHEN a.priority > b.priority THEN q ELSE p END WHEN a.s <> b.s THEN CASE WHEN a.s > b.s THEN q ELSE p END WHEN a.cs <> b.cs THEN CASE WHEN a.cs > b.cs THEN q ELSE p END WHEN a.aps <> b.aps THEN CASE WHEN a.aps > b.aps THEN q ELSE p END WHEN a.b <> b.b THEN CASE WHEN a.b > b.b THEN q ELSE p END WHEN a.title <= b.title THEN q ELSE p END AS loser FROM t JOIN m a ON a.context = t.context AND a.path = p JOIN m b ON b.context = t.context AND b.path = q WHERE p <> q),
 k AS (SELECT context, path, title, priority, s, CASE WHEN schema IN ('bias', 'anti-pattern') THEN 'bias_check' WHEN strength = 'hard' THEN 'hard_rule' ELSE 'soft_preference' END AS kind FROM m WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.context = m.context AND l.loser = m.path))
 SELECT context, path, kind, row_number() OVER (PARTITION BY context, kind ORDER BY priority DESC, s DESC, title) AS place FROM k"""
