@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import corpus, digests, knowledge, tables
+from siltstone.plans import corpus, digests, knowledge, scenarios, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (corpus, tables, knowledge, digests)
+MODULES = (corpus, tables, knowledge, digests, scenarios)
 
 
 def queries() -> dict[str, Query]:
