@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text
 from siltstone.operators import claims, events, ingest, notes, quant, retrieval, rules, series, states
-from siltstone.plans import catalog
 from siltstone.sources import market
 from siltstone.sources import notes as sources
 from siltstone.streaming import events as streams
@@ -107,8 +106,22 @@ def test_states(spark):
     assert states.resolve_subjects(s, p).first().title == "u"
 
 
+RULES = [
+    ("wiki/self/a.md", "Ground every number", "active", 5, "hard", ["global"], ["global"], "declared", "constitution", [], [], 1),
+    ("wiki/self/b.md", "Prefer brevity", "active", 2, "soft", ["report"], ["writing"], "declared", "preference", ["Ground every number"], [], 2),
+    ("wiki/self/c.md", "Recency bias", "active", 4, "hard", ["global"], ["research"], "observed", "bias", [], [], 3),
+    ("wiki/self/d.md", "Plain tone", "active", 3, "soft", ["global"], ["writing"], "learned-from-postmortem", "communication-style", [], ["prefer-brevity"], 4),
+    ("wiki/self/e.md", "Old rule", "superseded", 5, "hard", ["global"], ["global"], "declared", "constitution", [], [], 5),
+    ("wiki/self/f.md", "Quote sources", "active", 3, "default", ["report", "decide"], ["research"], "declared", "preference", ["c"], [], 6),
+    ("wiki/self/g.md", "Quote sparingly", "active", 3, "default", ["global"], ["research"], "declared", "preference", ["quote sources"], [], 7),
+]
+RULE_SCHEMA = "path string, title string, status string, priority int, strength string, scope array<string>, applies array<string>, basis string, schema string, conflicts_with array<string>, supersedes array<string>, seq int"
+
+
 def test_rules(spark):
-    r = {(x.context, x.path.split("/")[-1]): x.kind for x in catalog.queries()["rule_resolution"](spark, "").collect()}
+    contexts = spark.createDataFrame([("global", None, ["research", "writing"]), ("report", "report", ["writing", "research"]), ("decide", "decide", ["research"])], "context string, command string, applicability array<string>")
+    active, _ = rules.resolve(spark.createDataFrame(RULES, RULE_SCHEMA), contexts)
+    r = {(x.context, x.path.split("/")[-1]): x.kind for x in active.collect()}
     assert r[("report", "a.md")] == "hard_rule" and r[("report", "c.md")] == "bias_check" and ("report", "b.md") not in r
 
 
