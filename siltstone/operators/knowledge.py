@@ -140,7 +140,9 @@ def ledger_counts(claims: DataFrame) -> DataFrame:
 def claim_counters(claims: DataFrame, edges: DataFrame, limit: int = 4) -> DataFrame:
     """(id, place, other, claim_text): the claims that stand against each claim, surest first; ids that are unknown drop out."""
     against = edges.where(F.col("relation").isin("contradicts", "weakens"))
-    both = against.select(F.col("dst").alias("id"), F.col("src").alias("other")).unionByName(against.where("relation = 'contradicts'").select(F.col("src").alias("id"), F.col("dst").alias("other"))).distinct()
+    ends = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("other"))
+    back = F.when(F.col("relation") == "contradicts", F.array(ends("dst", "src"), ends("src", "dst"))).otherwise(F.array(ends("dst", "src")))
+    both = against.select(F.explode(back).alias("e")).select("e.*").distinct()
     found = both.join(claims.select(F.col("id").alias("other"), "claim_text", "score"), "other")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
     return found.select("id", place.alias("place"), "other", "claim_text").where(F.col("place") <= limit)
