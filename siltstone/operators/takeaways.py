@@ -2,17 +2,19 @@
 
 Lines are not walked one by one: stop lines become blank, skipped lines go, blocks end at blank lines and are cut before each
 bullet, and what a bullet does not open is dropped. All of it is array expressions on the row, so no text moves; work grows with
-the text's length, as no pattern looks back or repeats a group.
+the text's length, as no pattern looks back or repeats a group. Where only the first takeaways count, bullets and sentences are
+cleaned one by one until there are enough, and a source that comes second is read only if the first one left room.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import section, strip, truncated
+from siltstone.functions.text import contains_any, pinned, section, strip, truncated
 
 # How text is put right before it is cut, by pattern and replacement, in order.
 MARKUP = (
@@ -40,15 +42,41 @@ def _in_turn(text: Column, rules: tuple) -> Column:
     return reduce(lambda t, rule: F.regexp_replace(t, *rule), rules, text)
 
 
+def _where(values: Column, holds: str, rules: tuple) -> Column:
+    """The rules in turn on each value that holds a character which one of them needs; others are as they would be left."""
+    return F.transform(values, lambda v: F.when(v.rlike(holds), _in_turn(v, rules)).otherwise(v))
+
+
+# How many of the repairs are of broken characters, and what these and marks cannot do without.
+BROKEN, BROKEN_HOLD, MARKUP_HOLD = 8, "[âÂ▪\u00a0]", r"[`\[>#*_~\r\n]"
+
+
+def _normal(values: Column) -> Column:
+    return F.transform(_where(values, BROKEN_HOLD, REPAIRS[:BROKEN]), lambda v: F.trim(_in_turn(v, REPAIRS[BROKEN:])))
+
+
 def normalised(text: Column) -> Column:
     """Broken characters put right, blanks and blank lines reduced."""
-    return F.trim(_in_turn(F.coalesce(text, F.lit("")), REPAIRS))
+    return F.get(_normal(F.array(F.coalesce(text, F.lit("")))), 0)
+
+
+# What is ignored wherever it stands, as plain text, and by a pattern.
+_TOLD = [i for i in IGNORED if i.replace(" ", "").replace("-", "").replace(":", "").isalpha()]
+_SHOWN = [i.removeprefix("^") for i in IGNORED if i.startswith("^")]
+_OTHER = [i for i in IGNORED if i not in _TOLD and not i.startswith("^")]
+_SAID = "(?i)^(?:" + "|".join(_SHOWN) + ")|" + "|".join(_OTHER)
+
+
+def _ignored(value: Column, low: Column) -> Column:
+    """Whether one of IGNORED is in a value: the plain ones are only tried if the lower-case value contains one."""
+    return value.rlike(_SAID) | (contains_any(low, [t.lower() for t in _TOLD]) & value.rlike("(?i)" + "|".join(_TOLD)))
 
 
 def cleaned(values: Column) -> Column:
     """Each takeaway without marks, leads and firms' names, cut to two sentences and ended by a stop; the empty ones go."""
-    plain = F.transform(values, lambda v: F.trim(_in_turn(normalised(_in_turn(v, MARKUP)), LEADS)))
-    said = F.filter(plain, lambda v: (v != "") & ~v.rlike("(?i)" + "|".join(IGNORED)))
+    plain = F.transform(_normal(_where(F.transform(values, lambda v: F.coalesce(v, F.lit(""))), MARKUP_HOLD, MARKUP)), lambda v: F.trim(_in_turn(v, LEADS)))
+    pairs = F.transform(plain, lambda v: F.struct(v.alias("v"), F.lower(v).alias("low")))
+    said = F.transform(F.filter(pairs, lambda p: (p["v"] != "") & ~_ignored(p["v"], p["low"])), lambda p: p["v"])
     two = F.transform(said, lambda v: F.coalesce(F.nullif(F.array_join(F.slice(F.regexp_extract_all(v, F.lit(r"([^.!?]+[.!?]?)"), F.lit(1)), 1, 2), " "), F.lit("")), v))
     short = F.transform(two, lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, r"\s+", " "), TAIL, "")))
     return F.transform(short, lambda v: F.when(v.rlike(r"[.!?]$"), v).otherwise(F.concat(v, F.lit("."))))
@@ -65,29 +93,42 @@ def _trimmed_lines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n", "\n"), r"(?m)^[^\S\n]+|[^\S\n]+$", "")
 
 
+def _markdown_parts(part: Column) -> Column:
+    return _bullets(_trimmed_lines(part), "[-*]")
+
+
 def markdown_bullets(part: Column) -> Column:
     """Takeaways of the bullets of a note's section; wrapped lines belong to their bullet, nested bullets are bullets."""
-    return cleaned(_bullets(_trimmed_lines(part), "[-*]"))
+    return cleaned(_markdown_parts(part))
 
 
-def text_bullets(text: Column) -> Column:
-    """Takeaways of the bullets of an extracted text: captions, sources and page ends stop a bullet, sign lines are passed over."""
+def _text_parts(text: Column) -> Column:
     lines = _trimmed_lines(normalised(text))
     lines = F.regexp_replace(lines, "(?mi)(?:" + "|".join(rf"{s}[^\n]*\n?" for s in SKIPS) + ")", "")
-    stopped = F.regexp_replace(lines, "(?mi)" + "|".join(s if s.endswith("$") else rf"{s}[^\n]*$" for s in (*STOPS[:-1], r"^[^\n]*" + STOPS[-1])), "")
-    return cleaned(_bullets(stopped, "[-*•]"))
+    stopped = F.regexp_replace(lines, "(?mi)^(?:(?:" + "|".join(s.removeprefix("^") for s in STOPS[:-1]) + rf")[^\n]*|[^\n]*{STOPS[-1].removesuffix('$')})$", "")
+    return _bullets(stopped, "[-*•]")
+
+
+def text_bullets(text: Column) -> Column:
+    """Takeaways of the bullets of an extracted text: captions, sources and page ends stop a bullet, sign lines are passed over."""
+    return cleaned(_text_parts(text))
+
+
+def _first(values: Column, limit: int, made: Callable[[Column], Column], once: bool = True) -> Column:
+    """The first `limit` of what `made` makes of each value by itself, `once` without those that differ only in case; later values are not looked at."""
+    new = lambda held, v: F.filter(made(F.array(v)), lambda x: ~F.exists(held, lambda h: F.lower(h) == F.lower(x))) if once else made(F.array(v))
+    return F.aggregate(values, F.array().cast("array<string>"), lambda held, v: F.when(F.size(held) >= limit, held).otherwise(F.concat(held, new(held, v))))
 
 
 def sentences(text: Column, limit: int = 4) -> Column:
     """Takeaways of the first sentences."""
     whole = F.trim(F.regexp_replace(F.regexp_replace(normalised(text), r"(?i)^Summary\s*", ""), r"\s+", " "))
-    return F.slice(cleaned(F.regexp_extract_all(whole, F.lit(r"([^.!?]+[.!?]?)"), F.lit(1))), 1, limit)
+    return _first(F.regexp_extract_all(whole, F.lit(r"([^.!?]+[.!?]?)"), F.lit(1)), limit, cleaned, once=False)
 
 
 def unique(values: Column, limit: int = 6) -> Column:
     """The first `limit` takeaways, of those that differ only in case the first one."""
-    add = lambda held, v: F.when((F.size(held) < limit) & ~F.exists(held, lambda h: F.lower(h) == F.lower(v)), F.concat(held, F.array(v))).otherwise(held)
-    return F.aggregate(cleaned(values), F.array().cast("array<string>"), add)
+    return _first(values, limit, cleaned)
 
 
 def digests(notes: DataFrame, limit: int = 5) -> DataFrame:
@@ -97,11 +138,16 @@ def digests(notes: DataFrame, limit: int = 5) -> DataFrame:
     first takeaway, else the excerpt, else the title. Null columns are empty ones.
     """
     body = F.col("body")
-    said, route, short = markdown_bullets(section(body, "What This Source Says")), markdown_bullets(section(body, "Page Route")), sentences(section(body, "Summary"))
-    taken = text_bullets(F.col("extracted_text"))
+    twice = lambda v: cleaned(cleaned(v))  # noqa: E731  as takeaways are cleaned by themselves, and again among others
+    parts = [_first(_markdown_parts(section(body, heading)), limit, twice) for heading in ("What This Source Says", "Page Route")]
+    several = lambda *arrays: _first(F.concat(*arrays), limit, lambda v: v)
+    own = several(*parts, unique(sentences(section(body, "Summary")), limit))
+    taken = _first(_text_parts(F.col("extracted_text")), limit, twice)
     visual = F.lower(strip(F.coalesce("document_class", F.lit("")))) == "chartpack_or_visual"
-    out = notes.withColumns({"own": F.concat(said, route, short), "taken": taken})
-    out = out.withColumn("takeaways", unique(F.when(visual, F.concat("own", "taken")).otherwise(F.concat("taken", "own")), limit)).drop("own", "taken")
+    out = pinned(notes, lead=F.when(visual, own).otherwise(taken))
+    room = F.size("lead") < limit
+    out = pinned(out, rest=F.when(room & visual, taken).when(room, own).otherwise(F.array().cast("array<string>")))
+    out = pinned(out, takeaways=several("lead", "rest")).drop("lead", "rest")
     excerpt = F.get(cleaned(F.array(F.coalesce("excerpt", F.lit("")))), 0)
     return out.withColumn("summary", F.coalesce(F.get("takeaways", 0), excerpt, truncated(F.col("title"), 180)))
 

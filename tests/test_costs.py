@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from siltstone.functions.text import STOPWORDS
-from siltstone.operators import ingest
+from siltstone.operators import ingest, takeaways
 
 
 def plain_labels(title, text, terms, limit):
@@ -44,3 +46,20 @@ def test_concepts_do_not_sort_every_phrase(spark):
     docs = spark.createDataFrame([(1, "t", "b")], "id long, t string, b string")
     plan = ingest.concept_candidates(docs, "id", "t", "b", ["x"])._jdf.queryExecution().executedPlan().toString()
     assert "sort_array" not in plan and "Exchange" not in plan
+
+
+def test_takeaways_beyond_the_limit_are_not_cleaned(spark, monkeypatch):
+    real = takeaways.cleaned
+    watched = lambda values: real(F.transform(values, lambda v: F.when(v.contains("boom"), F.raise_error(F.lit("looked at"))).otherwise(v)))
+    monkeypatch.setattr(takeaways, "cleaned", watched)
+    text = "\n".join(f"- Copper rose by {i} points" for i in range(5)) + "\n- boom"
+    notes = [(1, "t", "## Summary\nboom. boom.", "research_note", text, None), (2, "t", "## Page Route\n" + text, "chartpack_or_visual", "- boom", None), (3, "t", "## Summary\nOne. Two. Three. Four. boom.", "chartpack_or_visual", "- Five", None)]
+    out = takeaways.digests(spark.createDataFrame(notes, "id int, title string, body string, document_class string, extracted_text string, excerpt string"))
+    five = [f"Copper rose by {i} points." for i in range(5)]
+    assert {r.id: r.takeaways for r in out.collect()} == {1: five, 2: five, 3: ["One.", "Two.", "Three.", "Four.", "Five."]}
+
+
+def test_what_is_ignored_and_repaired_where_it_stands(spark):
+    lines = ["see METADATA PATH: x", "Key Takeaways", "not Key takeaways", "mail a@b.c", "add image, table, or figure-specific notes", "a Distribution: b", "Distribution: b", "Âge â€¢ x ▪ y z", "*a* `b` [[c|d]] [e](f)", None, ""]
+    row = spark.createDataFrame([(lines,)], "v array<string>").select(takeaways.cleaned("v").alias("v")).first()
+    assert row.v == ["not Key takeaways.", "a Distribution: b.", "ge - x - y z.", "a b d e."]
