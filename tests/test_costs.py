@@ -2,13 +2,17 @@
 
 import random
 import re
+import threading
+import uuid
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import STOPWORDS
-from siltstone.operators import claims, ingest, takeaways
-from siltstone.plans import corpus
+from siltstone.operators import claims, ingest, quant, takeaways
+from siltstone.plans import corpus, tables
 
 
 def plain_labels(title, text, terms, limit):
@@ -72,3 +76,39 @@ def test_snapshots_are_compared_in_one_reading(spark, sf):
     one, two = (spark.createDataFrame([(x,) for x in v], "id string") for v in (["a", "b", "b", None], ["b", "c", "c", None, None]))
     found = claims.snapshot_diff(one, two).collect()
     assert sorted(map(str, found)) == sorted(map(str, one.select("id").distinct().join(two, "id", "left_anti").selectExpr("id", "'removed' change").union(two.select("id").distinct().join(one, "id", "left_anti").selectExpr("id", "'added' change")).collect()))
+
+
+def test_mixtures_are_fitted_side_by_side(spark, monkeypatch):
+    real, lock, now, most, fits = quant.GaussianMixture, threading.Lock(), [0], [0], []
+
+    class Watched(real):
+        def fit(self, data):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            try:
+                model = super().fit(data)
+                fits.append((model.getK(), model.getSeed(), model.summary.logLikelihood))
+                return model
+            finally:
+                with lock:
+                    now[0] -= 1
+
+    monkeypatch.setattr(quant, "GaussianMixture", Watched)
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, (rng.normal(size=2) + 4 * (i % 3)).tolist()) for i in range(300)], "date int, features array<double>")
+    labels, bic = quant.mixture_regimes(rows, 2, 3, tries=3)
+    assert most[0] > 1 and sorted(f[:2] for f in fits) == [(k, 42 + t) for k in (2, 3) for t in range(3)]
+    assert bic == {k: -2 * max(x for j, _, x in fits if j == k) + (k * 2 + k * 3 + k - 1) * np.log(300) for k in (2, 3)}
+    assert labels.count() == 300 and labels.select("regime").distinct().count() == min(bic, key=bic.get)
+
+
+def test_paths_are_simulated_once_for_their_statistics(spark, monkeypatch, tmp_path):
+    def run(frames):
+        (tmp_path / uuid.uuid4().hex).touch()
+        for f in frames:
+            yield pd.DataFrame({"path": f["id"], "horizon": 5, "regime": 0, "series_id": "a", "ret": f["id"] / 100.0 - 0.2})
+
+    monkeypatch.setattr(tables, "scenario_paths", lambda *_: spark.range(0, 100, 1, 4).mapInPandas(run, "path long, horizon int, regime int, series_id string, ret double"))
+    assert [(r.n, round(r.shortfall, 6)) for r in tables.scenario_summary(spark, "").collect()] == [(100, -0.18)]
+    assert len(list(tmp_path.iterdir())) == 4
