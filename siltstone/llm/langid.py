@@ -78,8 +78,8 @@ def chains(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first[order], reach
 
 
-def forward_backward(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of each word, and the expected transitions summed over all neighbours.
+def forward_backward(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray, first: np.ndarray, count: np.ndarray, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of each word, and the expected transitions summed over all neighbours, which only learning needs (`counted`).
 
     `emission` holds log scores by word; chain c is the words first[c] .. first[c] + count[c] - 1.
     """
@@ -101,8 +101,9 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, initial: np.n
         if len(back):
             held = back * e[first[: len(back)] + t + 1]
             grown[: len(back)] = held @ step.T
-            joint = forward[first[: len(back)] + t][:, :, None] * step[None] * held[:, None, :]
-            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            if counted:
+                joint = forward[first[: len(back)] + t][:, :, None] * step[None] * held[:, None, :]
+                pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         grown /= grown.sum(1, keepdims=True)
         back = grown
         backward[first[:n] + t] = back
@@ -134,7 +135,7 @@ class Field:
             places, cut = word_features(apart, begin, begin + length)
             scores = np.add.reduceat(self.weights[places], cut, axis=0).astype(np.float64)
             scores[~lettered[index]] = 0
-            marginals, _ = forward_backward(scores[back], self.transition, self.initial, first[:-1], np.diff(first))
+            marginals, _ = forward_backward(scores[back], self.transition, self.initial, first[:-1], np.diff(first), counted=False)
         return starts, ends, first, lettered, marginals
 
     def predict(self, array: pa.Array) -> tuple[list[str], np.ndarray]:
