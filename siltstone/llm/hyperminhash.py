@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import checkpointed, counted, mix, partitions, pieces, released
-from siltstone.llm.components import components
+from siltstone.llm.components import components, merged
 from siltstone.llm.shingles import digest, shingle_sets
 
 WIDTH = 5
@@ -221,9 +221,9 @@ def _alike(percent: int):
     return 100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")
 
 
-def labelled(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """(band, node, n_shingles, component) in the bands whose members lie in different components, with `held` and `least`."""
-    rows = members.join(labels, "node", "left").join(classes.select("node", "n_shingles"), "node").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """`members` (band, node, n_shingles) with `component`, of bands whose members lie in different ones, with `held`, their number."""
+    rows = members.join(labels, "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).where("low <> high")
     return checkpointed(rows.join(mixed.select("band", "held"), "band"))
 
@@ -291,21 +291,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return links
 
     links = linked(stars)
-    found = components(links)
-    members = members.select("band", "node")
-    rows = labelled(members, found, classes)
+    found = checkpointed(components(links))
+    rows = labelled(members.select("band", "node").join(classes.select("node", "n_shingles"), "node"), found)
     for salt in range(HUBS):
         more = linked(hub_pairs(rows, links, salt).join(links, ["a", "b"], "left_anti")) if counted(rows) else None
         if more is None or not counted(more):
             break
         links = links.unionByName(more)
-        found = components(links)
-        released(rows)
-        rows = labelled(members, found, classes)
+        last, found = found, checkpointed(merged(found, more))
+        # bands within one component stay so
+        before, rows = rows, labelled(rows.select("band", "node", "n_shingles"), found)
+        released(last, before)
     if counted(rows):
         more = linked(across(rows, texts, width, percent))
         if counted(more):
-            found = components(links.unionByName(more))
+            found = checkpointed(merged(found, more))
     own = named.select("node", "address", F.col("key").alias("own")).join(found, "node", "left")
     least = own.where("component is not null").groupBy("component").agg(F.min("own").alias("least"))
     named = checkpointed(own.join(least, "component", "left").select("address", F.coalesce("least", "own").alias("class_component")))

@@ -69,6 +69,13 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return places[order], np.searchsorted(word[order], np.arange(len(starts)))
 
 
+def apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words alone, end to end, with their starts and ends: features cost memory by the byte of the whole buffer."""
+    length = ends - starts
+    begin = np.cumsum(length) - length
+    return data[np.arange(int(length.sum())) + np.repeat(starts - begin, length)], begin, begin + length
+
+
 def chains(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chains by falling length, and for each position how many of them reach it."""
     order = np.argsort(-count, kind="stable")
@@ -128,11 +135,8 @@ class Field:
         marginals = np.zeros((len(starts), len(self.languages)))
         if len(starts) and self.languages:
             _, index, back = np.unique(Roller(low).hashes(starts, ends), return_index=True, return_inverse=True)
-            s, length = starts[index], ends[index] - starts[index]
-            # the distinct words alone, end to end: features cost memory by the byte
-            begin = np.cumsum(length) - length
-            apart = low[np.arange(int(length.sum())) + np.repeat(s - begin, length)]
-            places, cut = word_features(apart, begin, begin + length)
+            # the distinct words alone
+            places, cut = word_features(*apart(low, starts[index], ends[index]))
             scores = np.add.reduceat(self.weights[places], cut, axis=0).astype(np.float64)
             scores[~lettered[index]] = 0
             marginals, _ = forward_backward(scores[back], self.transition, self.initial, first[:-1], np.diff(first), counted=False)
@@ -181,7 +185,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Field:
             picked = chosen[at : at + BATCH * SEQUENCE]
             truth = label[picked]
             begin = np.arange(0, len(picked), SEQUENCE)
-            places, cut = word_features(data, starts[picked], ends[picked])
+            places, cut = word_features(*apart(data, starts[picked], ends[picked]))
             scores = np.add.reduceat(weights[places], cut, axis=0).astype(np.float64)
             marginal, pairs = forward_backward(scores, transition, initial, begin, np.diff(np.append(begin, len(picked))))
             error = -marginal
