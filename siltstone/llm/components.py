@@ -20,7 +20,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        out = joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
     return out.where("a <> b")
 
 
@@ -42,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
         now = checkpointed(_stars(_stars(now, True), False).distinct())
         released(last)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return now.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component")).distinct()
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
