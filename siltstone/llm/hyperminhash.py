@@ -75,7 +75,7 @@ def sketched(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     kind = docs.select(F.col(f"`{key}`")).schema.fields[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "read_text"):
+        for batch in pieces(batches, "read_text", 256 << 10):
             sizes, addresses, registers = [], [], []
             for held in shingle_sets(batch.column(1), width):
                 sizes.append(len(held))
@@ -95,8 +95,8 @@ def band_keys(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 bands = _registers(part.column(1)).reshape(-1, BANDS, ROWS).astype(np.uint64)
                 filled = bands.any(2)
                 keys = mix(np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1))

@@ -32,6 +32,8 @@ BITS = 18
 SAMPLE = 150
 #: Bytes of text that a worker labels at once: chains step together, so that small pieces cost more steps.
 LABELLED_BYTES = 1 << 20
+#: Distinct words whose features a worker makes at once: each has some twenty, which cost far more memory than the word.
+SCORED_WORDS = 1 << 13
 RUN, SEQUENCE, BATCH, EPOCHS = 12, 48, 64, 2
 #: The pipeline keeps documents whose language has at least this mean marginal.
 LEAST = 0.4
@@ -91,7 +93,9 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, initial: np.n
     `emission` holds log scores by word; chain c is the words first[c] .. first[c] + count[c] - 1.
     """
     first, reach = chains(first, count)
-    e = np.exp(emission - emission.max(1, keepdims=True)) + 1e-30
+    e = emission - emission.max(1, keepdims=True)
+    np.exp(e, out=e)
+    e += 1e-30
     step, begin = np.exp(transition - transition.max()), np.exp(initial - initial.max())
     forward, backward = np.empty_like(e), np.empty_like(e)
     pairs = np.zeros_like(step)
@@ -114,8 +118,9 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, initial: np.n
         grown /= grown.sum(1, keepdims=True)
         back = grown
         backward[first[:n] + t] = back
-    marginal = forward * backward
-    return marginal / marginal.sum(1, keepdims=True), pairs
+    forward *= backward
+    forward /= forward.sum(1, keepdims=True)
+    return forward, pairs
 
 
 @dataclass
@@ -125,6 +130,15 @@ class Field:
     transition: np.ndarray
     initial: np.ndarray
 
+    def scores(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log scores of words, which are looked at alone and some at a time."""
+        out = np.empty((len(starts), len(self.languages)))
+        for at in range(0, len(starts), SCORED_WORDS):
+            some = slice(at, at + SCORED_WORDS)
+            places, cut = word_features(*apart(low, starts[some], ends[some]))
+            out[some] = np.add.reduceat(self.weights[places], cut, axis=0)
+        return out
+
     def label(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of a text array: word starts and ends, each row's first word, words with letters, marginals."""
         data, offsets = text_bytes(array)
@@ -135,9 +149,7 @@ class Field:
         marginals = np.zeros((len(starts), len(self.languages)))
         if len(starts) and self.languages:
             _, index, back = np.unique(Roller(low).hashes(starts, ends), return_index=True, return_inverse=True)
-            # the distinct words alone
-            places, cut = word_features(*apart(low, starts[index], ends[index]))
-            scores = np.add.reduceat(self.weights[places], cut, axis=0).astype(np.float64)
+            scores = self.scores(low, starts[index], ends[index])
             scores[~lettered[index]] = 0
             marginals, _ = forward_backward(scores[back], self.transition, self.initial, first[:-1], np.diff(first), counted=False)
         return starts, ends, first, lettered, marginals
@@ -257,11 +269,14 @@ def label_words(docs: DataFrame, model: Field, key: str = "doc_id", text: str =
 def keep_identified(docs: DataFrame, text: str = "text", least: float = LEAST, model: Field | None = None) -> DataFrame:
     """The rows whose text has one clear language: neither `und` nor a score under `least`. Columns, of any names, are unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model or trained(docs))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("read_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = docs.columns.index(text) if text in docs.columns else [c.lower() for c in docs.columns].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "read_text", LABELLED_BYTES):
+        # the text is read where it lies in the row: a column of its own would move it twice
+        whole = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(at)], ["row", "read_text"]) for b in batches)
+        for batch in pieces(whole, "read_text", LABELLED_BYTES):
             names, found = shared.value.predict(batch.column(1))
             yield batch.filter(pa.array((np.array(names) != "und") & (found >= least))).select(["row"])
 
-    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
+    return rows.mapInArrow(run, rows.schema).select("row.*")
