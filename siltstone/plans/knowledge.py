@@ -170,9 +170,8 @@ _LEDGER_COUNTS = f"WITH {_CLAIMS} SELECT status, kind, count(*) AS n, round(avg(
 
 
 def claim_counters(spark, sf_dir):
-    c = corpus._claims(spark, sf_dir).select("id", F.col("strength").alias("score"), "keys", "words", "polarity", "kind", "dated", "strength")
-    c = c.withColumn("claim_text", F.array_join("words", " ")).cache()
-    return knowledge.claim_counters(c.select("id", "claim_text", "score"), claims.links(c, superseding=False)).select("id", F.col("place").cast("long").alias("place"), "other")
+    c = claims.polar(corpus._claims(spark, sf_dir)).select("id", "keys", "words", "polarity", "strength").cache()
+    return claims.against(c).select("id", F.col("place").cast("long").alias("place"), "other")
 
 
 _COUNTERS = f"""WITH {corpus._EDGES}, ag AS (SELECT dst AS id, src AS other FROM edges WHERE relation IN ('contradicts', 'weakens') UNION SELECT src, dst FROM edges WHERE relation = 'contradicts')
